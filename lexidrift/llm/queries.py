@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import repetition, sampling, splits
+from lexidrift.llm import repetition, sampling, sentences, splits
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
     q["p2_found"] = lambda s, d: repetition.repetitive_ids(_raid(s, d, "id", "generation"))
     q["p2_scores"] = lambda s, d: repetition.repetition_scores(_raid(s, d, "id", "generation"))
     q["p2_by_penalty"] = lambda s, d: repetition.repetition_by_penalty(_raid(s, d, "id", "generation", "repetition_penalty"))
+    q["p3_found"] = lambda s, d: sentences.probe_sentences(_raid(s, d, "id", "generation"), table(s, d, "segmentation_probe"))
+    q["p3_sentences"] = lambda s, d: sentences.sentences(_raid(s, d, "id", "generation"))
+    q["p3_by_domain"] = lambda s, d: sentences.sentence_report(_raid(s, d, "id", "domain", "generation"))
     q["p5_sample_by_id"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1)
     q["p5_sample_by_source"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1, by="source_id")
     return q
