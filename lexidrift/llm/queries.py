@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import repetition, sampling, sentences, splits
+from lexidrift.llm import pairs, repetition, sampling, sentences, splits, truncation
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def queries() -> dict[str, Query]:
     q["p3_by_domain"] = lambda s, d: sentences.sentence_report(_raid(s, d, "id", "domain", "generation"))
     q["p5_sample_by_id"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1)
     q["p5_sample_by_source"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1, by="source_id")
+    q["p6_found"] = lambda s, d: truncation.truncated(_raid(s, d, "id", "prompt", "generation")).select("id")
+    q["p6_by_model"] = lambda s, d: truncation.truncation_by_model(_raid(s, d, "id", "model", "prompt", "generation"))
+    q["p7_found"] = lambda s, d: pairs.defective_pairs(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
+    q["p7_by_side"] = lambda s, d: pairs.defects_by_source(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
     return q
 
 
