@@ -17,7 +17,7 @@ PLACEHOLDERS = frozenset("null|none|nan|nil|n/a|na|n.a|no answer|empty|removed|d
 
 # Phrases with which an answer declines, in lower case with straight apostrophes.
 REFUSALS = """
-i can't|i cannot|i can not|i won't|i will not|i am unable|i'm unable|i am not able|i'm not able|i must decline|i have to decline|i must refuse|i have to pass on|i'd rather not|i would rather not|i am not allowed|i'm not allowed|i am not permitted|i'm not permitted|i do not feel able|i don't feel comfortable|isn't possible for me|is not possible for me|isn't something i can|is not something i can|isn't something i could|against the guidelines|against my guidelines|i refuse to|i decline to|we can't|we cannot|we are unable|unable to help with|unable to assist
+i can't|i cannot|i can not|i won't|i will not|i am unable|i'm unable|i am not able|i'm not able|i must decline|i have to decline|i must refuse|i have to pass on|i'd rather not|i would rather not|i am not allowed|i'm not allowed|i am not permitted|i'm not permitted|i do not feel able|i don't feel comfortable|isn't possible for me|is not possible for me|isn't something i can|is not something i can|isn't something i could|against the guidelines|against my guidelines|i refuse to|i decline to|we can't|we cannot|we are unable|unable to help with|unable to assist|do not allow me|don't allow me|does not allow me|not be appropriate for me|isn't appropriate for me|is not appropriate for me|i'm not comfortable|i am not comfortable|i'm not willing|i am not willing|beyond what i can|outside of what i may|outside what i may
 no puedo|no me es posible|no estoy autorizad|prefiero no|debo rechazar|no podré
 je ne peux pas|je ne suis pas en mesure|je ne puis|je préfère ne pas|je dois refuser|je regrette, mais|il ne m'est pas possible
 kann ich leider nicht|kann ich nicht|ich kann leider nicht|ich kann das nicht|ich kann dabei nicht|ist mir nicht möglich|darf ich nicht|ich muss ablehnen|möchte ich lieber nicht
@@ -33,6 +33,10 @@ non posso|não posso|niet mogelijk|ik kan niet|nie mogę
 """
 
 
+# Phrases that look like declining and are not.
+NOT_REFUSALS = re.compile(r"i (?:can't|cannot|can not) (?:say enough|wait|complain|stress|recommend|thank|praise|help but|imagine|believe|overstate)")
+
+
 @lru_cache(1)
 def _refusals() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -68,7 +72,7 @@ def is_refusal(text: str) -> bool:
     if len(text) > 400:
         return False
     parts = [p for p in _SENTENCE.split(text.lower().replace("’", "'")) if p and any(map(str.isalnum, p))]
-    hits = [any(True for _ in _refusals().iter(p)) for p in parts]
+    hits = [any(True for _ in _refusals().iter(p)) and not NOT_REFUSALS.search(p) for p in parts]
     if not any(hits[:2]) or len(parts) > 1 + EXTRA + hits[1:2].count(True):
         return False
     first = hits.index(True)
@@ -137,22 +141,29 @@ def _automaton(prompt: str) -> tuple[SuffixAutomaton, int]:
     return SuffixAutomaton(words), len(words)
 
 
-#: A copy may differ from the prompt in this many words, or in this share of a long one.
-SPARE_WORDS, SPARE_SHARE = 2, 0.15
+#: A copy may differ from the prompt in this many words, or in this share of a long one, and in no longer run.
+SPARE_WORDS, SPARE_SHARE, SPARE_RUN = 2, 0.25, 3
 
 
-def copied_share(prompt: str, words: list[str]) -> float:
-    """Share of `words` that lie in runs of two or more words of the prompt."""
+def uncopied(prompt: str, words: list[str]) -> tuple[int, int]:
+    """How many of `words` lie outside runs of two or more words of the prompt, and their longest run."""
     runs = _automaton(prompt)[0].runs(words)
-    covered, until = 0, len(words)
+    outside = longest = stretch = 0
+    until = len(words)
     for i in range(len(words) - 1, -1, -1):
         if runs[i] >= 2:
             until = min(until, i - runs[i] + 1)
-        if i >= until:
-            covered += 1
+        if i < until:
+            outside, stretch = outside + 1, stretch + 1
+            longest = max(longest, stretch)
+        else:
+            stretch = 0
         if i <= until:
             until = len(words)
-    return covered / max(1, len(words))
+    return outside, longest
+
+
+_LEAD = re.compile(r"^[^:：\n]{1,40}[:：]\s*(?=\S)")
 
 
 def is_copy(prompt: str, text: str) -> bool:
@@ -160,15 +171,18 @@ def is_copy(prompt: str, text: str) -> bool:
     size = _automaton(prompt)[1]
     if not size:
         return False
-    words = tokens(text)
-    while words and words[0] in LABELS and len(words) > 1:
-        words = words[1:]
-    while words and words[-1] in LABELS and len(words) > 1:
-        words = words[:-1]
-    if len(words) < max(2, min(4, size), 0.5 * size):
-        return False
-    spare = max(SPARE_WORDS, SPARE_SHARE * len(words)) + 1e-9
-    return (1 - copied_share(prompt, words)) * len(words) <= spare and len(words) > 2 * SPARE_WORDS
+    for body in (text, _LEAD.sub("", text)):
+        words = tokens(body)
+        while words and words[0] in LABELS and len(words) > 1:
+            words = words[1:]
+        while words and words[-1] in LABELS and len(words) > 1:
+            words = words[:-1]
+        if len(words) < max(2, min(4, size), 0.5 * size):
+            continue
+        outside, longest = uncopied(prompt, words)
+        if outside <= max(SPARE_WORDS, SPARE_SHARE * len(words)) and longest <= SPARE_RUN and outside < 0.5 * len(words):
+            return True
+    return False
 
 
 #: An answer with fewer letters than this carries no vote on its language.

@@ -7,11 +7,11 @@ from collections import Counter
 
 # Frequent function words of languages in Latin script.
 STOPWORDS = {
-    "en": "the of and to in is was it that for on with as his her its by at from this are were be has have had not but which they an or there what who when than so a i my after while does about can't didn't isn't every near cups said",
-    "de": "der die das und den dem des ein eine einen einer nicht ist war mit für von auf nach vor bei aus sich auch während trotz wegen ohne hinter gegen unser mein zum zur am im es ich wir",
-    "fr": "le la les un une des du et est dans pour par sur avec sans qui que ne pas plus au aux ce cette son sa ses notre après derrière pendant malgré vers dès je vous il elle à",
-    "es": "el la los las un una unos de del y en es por para con sin que no se su sus más al lo este esta nuestro tras hacia pese durante detrás como yo usted",
-    "cs": "a je na se v ve z že do pro po od za bez při během kvůli navzdory náš ten ta to byl byla krátce časně k ke ale jako jsem s",
+    "en": "the of and to in is was it that for on with as his her its by at from this are were be has have had not but which they an or there what who when than so a i my after while does about can't didn't isn't every near cups said write titled article give describe how long why where explain report compose",
+    "de": "der die das und den dem des ein eine einen einer nicht ist war mit für von auf nach vor bei aus sich auch während trotz wegen ohne hinter gegen unser mein zum zur am im es ich wir schreibe titel kurzen bericht warum wie wer was wo",
+    "fr": "le la les un une des du et est dans pour par sur avec sans qui que ne pas plus au aux ce cette son sa ses notre après derrière pendant malgré vers dès je vous il elle à écris écrivez intitulé rédige pourquoi comment où quel quelle",
+    "es": "el la los las un una unos de del y en es por para con sin que no se su sus más al lo este esta nuestro tras hacia pese durante detrás como yo usted escribe titulado artículo qué cómo quién dónde cuál",
+    "cs": "a je na se v ve z že do pro po od za bez při během kvůli navzdory náš ten ta to byl byla krátce časně k ke ale jako jsem s napiš článek názvem krátký proč jak kdo kde",
     "it": "il lo gli di che e è per con non del della dei nel alla sono una uno anche dopo prima senza",
     "pt": "o os as um uma de do da dos das e é em no na para por com não que se seu sua após durante sem",
     "nl": "de het een van en in is dat op te voor met niet zijn aan er om ook na tijdens zonder",

@@ -21,40 +21,52 @@ from lexidrift.llm.defects import cut_state, is_copy, is_empty, is_refusal, visi
 
 #: A word is known when it occurs so often away from an open end.
 KNOWN = 2
+#: A shorter form is unknown all the same while the words that begin with it are this many times as frequent.
+RARE_FORM = 1000
 #: A word may end a text with suspension points when this share of its uses closes a sentence; a list item needs less.
 DOTS_SHARE, LIST_SHARE = 0.10, 0.004
+#: Likewise when that many texts end with the word and suspension points, relative to its other uses.
+SUSPENSE, SUSPENSE_SHARE = 2, 0.01
 _RUN = re.compile(r"[^\s\d.,;:!?…\"“”„«»()\[\]<>{}—–/\\।。！？，、「」《》]+[\"”’»)\]]*[.!?…।\n]?")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _ENDS = frozenset(".!?…।\n")
 
 
 def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """`(word, n, final)` over all texts: uses of a lower-case word, and uses that close a sentence or line.
+    """`(word, n, final, dots)` over all texts: uses of a lower-case word, those that close a
+    sentence or line, and the texts that end with it and suspension points.
 
-    The last word of a text that ends without a mark is left out: it may be a fragment.
-    Each Arrow batch is counted before the shuffle.
+    The last word of a text that ends with suspension points or without a mark is not in
+    `n`: it may be a fragment. Each Arrow batch is counted before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, suspended = [], Counter()
             for t in batch.column(0).to_pylist():
-                t = (t or "").rstrip()
-                if t and t[-1] not in ".!?…।؟\"”)]":
+                t = _INVISIBLE.sub("", t or "").rstrip()
+                if t.endswith(("…", "...")):
+                    t = t.rstrip(".…")
+                    cut = max(t.rfind(" "), t.rfind("\n"), 0)
+                    suspended[t[cut:].strip().strip("\"'“”„«»()").lower()] += 1
+                    t = t[:cut]
+                elif t and t[-1] not in ".!?।؟\"”)]":
                     t = t[: max(t.rfind(" "), t.rfind("\n"), 0)]
                 if t:
                     parts.append(t)
             counted: dict[str, list[int]] = {}
-            for run_, n in Counter(_RUN.findall(_INVISIBLE.sub("", "\n \n".join(parts).lower()))).items():
+            for run_, n in Counter(_RUN.findall("\n \n".join(parts).lower())).items():
                 word = run_.rstrip("\"”’»)].!?…।\n")
-                slot = counted.setdefault(word, [0, 0])
+                slot = counted.setdefault(word, [0, 0, 0])
                 slot[0] += n
                 slot[1] += n * (run_[-1] in _ENDS)
+            for word, n in suspended.items():
+                counted.setdefault(word, [0, 0, 0])[2] += n
             counted.pop("", None)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array([v[0] for v in counted.values()], pa.int64()), pa.array([v[1] for v in counted.values()], pa.int64())], names=["word", "n", "final"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), *(pa.array([v[k] for v in counted.values()], pa.int64()) for k in range(3))], names=["word", "n", "final", "dots"])
 
-    parts = texts.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, n long, final long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
+    parts = texts.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, n long, final long, dots long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final"), F.sum("dots").alias("dots"))
 
 
 def maybe_open(text: Column) -> Column:
@@ -94,17 +106,19 @@ def judge(ends: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     asked = ends.where("state <> 'cut'").select("word").distinct()
     known = words.where(F.col("n") >= KNOWN)
     lengths = F.filter(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: i < F.length("word"))
-    trie = known.select("word").select(F.explode(F.transform(lengths, lambda i: F.col("word").substr(F.lit(1), i))).alias("word")).distinct()
-    nodes = asked.join(trie, "word", "left_semi").withColumn("is_prefix", F.lit(True))
-    facts = asked.join(known, "word", "left").join(nodes, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"))
+    node = F.explode(F.transform(lengths, lambda i: F.col("word").substr(F.lit(1), i))).alias("word")
+    trie = known.select(node, "n").join(asked, "word").groupBy("word").agg(F.sum("n").alias("longer"))
+    count = F.when(F.col("n") * RARE_FORM >= F.coalesce("longer", F.lit(0)), F.col("n")).otherwise(0)
+    facts = asked.join(known, "word", "left").join(trie, "word", "left").select("word", F.coalesce(count, F.lit(0)).alias("n"), F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("dots", F.lit(0)).alias("dots"), F.col("longer").isNotNull().alias("is_prefix"))
     told = ends.join(facts, "word", "left")
     fragment = (F.col("n") == 0) & F.col("is_prefix")
+    suspense = (F.col("n") > 0) & (F.col("dots") >= SUSPENSE) & (F.col("dots") >= SUSPENSE_SHARE * F.col("n"))
     closing = F.col("final") / F.greatest(F.col("n"), F.lit(1))
     evidence = (
         F.when(F.col("state") == "cut", F.col("word"))
         .when(F.col("state") == "open", F.when(fragment, "inside_word").otherwise("inside_sentence"))
         .when(fragment, "inside_word")
-        .when((F.col("state") == "dots") & ((F.col("n") == 0) | (closing < DOTS_SHARE)), "inside_sentence")
+        .when((F.col("state") == "dots") & ((F.col("n") == 0) | (closing < DOTS_SHARE)) & ~suspense, "inside_sentence")
         .when((F.col("state") == "list") & (F.col("n") > 0) & (closing < LIST_SHARE), "inside_sentence")
     )
     return told.select(*keys, evidence.alias("evidence")).where("evidence is not null")
