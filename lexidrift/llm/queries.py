@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import pairs, repetition, sampling, sentences, splits, truncation
+from lexidrift.llm import overlap, pairs, repetition, sampling, sentences, splits, truncation
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ def queries() -> dict[str, Query]:
     q["p3_found"] = lambda s, d: sentences.probe_sentences(_raid(s, d, "id", "generation"), table(s, d, "segmentation_probe"))
     q["p3_sentences"] = lambda s, d: sentences.sentences(_raid(s, d, "id", "generation"))
     q["p3_by_domain"] = lambda s, d: sentences.sentence_report(_raid(s, d, "id", "domain", "generation"))
+    q["p4_found"] = lambda s, d: overlap.overlapping_records(_raid(s, d, "id", "split_name", "source_id", "generation"))
+    q["p4_classes"] = lambda s, d: overlap.overlap_classes(_raid(s, d, "id", "split_name", "source_id", "generation"))
+    q["p4_report"] = lambda s, d: overlap.overlap_report(_raid(s, d, "id", "split_name", "source_id", "generation"))
     q["p5_sample_by_id"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1)
     q["p5_sample_by_source"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1, by="source_id")
     q["p6_found"] = lambda s, d: truncation.truncated(_raid(s, d, "id", "prompt", "generation")).select("id")
