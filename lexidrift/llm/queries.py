@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import overlap, pairs, repetition, sampling, sentences, splits, truncation
+from lexidrift.llm import leakage, overlap, pairs, repetition, sampling, sentences, splits, truncation
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,8 @@ def queries() -> dict[str, Query]:
     q["p6_by_model"] = lambda s, d: truncation.truncation_by_model(_raid(s, d, "id", "model", "prompt", "generation"))
     q["p7_found"] = lambda s, d: pairs.defective_pairs(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
     q["p7_by_side"] = lambda s, d: pairs.defects_by_source(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
+    q["p8_found"] = lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id")
+    q["p8_by_item"] = lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items"))
     return q
 
 
