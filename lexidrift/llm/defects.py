@@ -49,7 +49,9 @@ def _refusals() -> ahocorasick.Automaton:
 
 def visible(text: str | None) -> str:
     """`text` without invisible characters and outer white space; empty for null."""
-    return _INVISIBLE.sub("", text or "").strip()
+    if not text:
+        return ""
+    return text.strip() if text.isascii() else _INVISIBLE.sub("", text).strip()
 
 
 def is_empty(text: str) -> bool:
@@ -81,11 +83,14 @@ def is_refusal(text: str) -> bool:
 
 # Words that label a copied prompt.
 LABELS = frozenset("question answer prompt instruction task request you asked your q a reply response input output user assistant title frage antwort réponse pregunta respuesta otázka odpověď вопрос ответ 问题 回答 質問".split())
+_ASCII_TOKEN = re.compile("[a-z0-9]+")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_぀-ヿ㐀-鿿฀-๿]+")
 
 
 def tokens(text: str) -> list[str]:
     """Words in lower case; single characters where a script sets no blanks."""
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower())
     return _TOKEN.findall(unicodedata.normalize("NFKC", text).lower())
 
 
@@ -136,9 +141,9 @@ class SuffixAutomaton:
 
 
 @lru_cache(4096)
-def _automaton(prompt: str) -> tuple[SuffixAutomaton, int]:
+def _automaton(prompt: str) -> tuple[SuffixAutomaton, frozenset[str], int]:
     words = tokens(prompt)
-    return SuffixAutomaton(words), len(words)
+    return SuffixAutomaton(words), frozenset(words), len(words)
 
 
 #: A copy may differ from the prompt in this many words, or in this share of a long one, and in no longer run.
@@ -168,11 +173,14 @@ _LEAD = re.compile(r"^[^:：\n]{1,40}[:：]\s*(?=\S)")
 
 def is_copy(prompt: str, text: str) -> bool:
     """Nothing but the prompt: restyled, quoted, labelled, repeated, or with a word or two exchanged."""
-    size = _automaton(prompt)[1]
+    _, known, size = _automaton(prompt)
     if not size:
         return False
-    for body in (text, _LEAD.sub("", text)):
+    for body in dict.fromkeys((text, _LEAD.sub("", text))):
         words = tokens(body)
+        # a word that the prompt doesn't hold lies outside, so most answers end here
+        if len(set(words).difference(known, LABELS)) > max(SPARE_WORDS, SPARE_SHARE * len(words)):
+            continue
         while words and words[0] in LABELS and len(words) > 1:
             words = words[1:]
         while words and words[-1] in LABELS and len(words) > 1:
@@ -191,7 +199,7 @@ LANGUAGE_LETTERS = 20
 
 def in_other_language(prompt: str, text: str) -> bool:
     """Both languages can be told and they differ."""
-    if sum(map(str.isalpha, text)) < LANGUAGE_LETTERS:
+    if len(text) < 10 * LANGUAGE_LETTERS and sum(map(str.isalpha, text)) < LANGUAGE_LETTERS:
         return False
     told = language(text, 3)
     if told is None:
@@ -204,10 +212,13 @@ _CLOSED = re.compile(r"(?:[.!?。！？।॥؟‼⁇⁈⁉｡]|[\U0001F000-\U00
 _MARKS = re.compile(r"\s*(?:[\[(<{]\s*(?:truncated|cut|cut off|more|read more|continued|cont|cont\.|snip|trimmed|clipped|text truncated|message truncated|output truncated|\.\.\.|…)\s*[\])>}]|(?:\.\.\.|…)\s*(?:more|read more|\[\+?\d+ chars\]))$", re.I)
 _DOTS = re.compile(r"(?:\.{3,}|…)[\"'”’»)\]]*$")
 _URL = re.compile(r"(?:https?://|www\.)[^\s/]+\.[a-z]{2,}(?:/\S*)?$|\S+@\S+\.[a-z]{2,}$", re.I)
+_THAI = re.compile("[฀-๿]")
 _BULLET = re.compile(r"^\s*(?:[-*•‣–]|\d{1,3}[.)])\s+\S")
 _SIGNED = re.compile(r"^\s*[–—-]\s?[^\W\d_]\S*(?:\s\S+){0,2}\s*$")
 _CLOSING_LINE = re.compile(r"^\s*[^\W\d_][^.!?]{0,40},\s*$")
 _LAST_WORD = re.compile(r"([^\s\d.,;:!?…\"“”„«»()\[\]<>{}—–/\\।。！？，、「」《》]+)[^\w]*$")
+#: Characters in which a truncation mark or closing marks are looked for.
+MARK_SPAN = 64
 #: Words of a text that ends openly and yet may be a short answer.
 SHORT_WORDS = 4
 
@@ -225,19 +236,20 @@ def cut_state(text: str) -> tuple[str, str]:
         return "closed", ""
     if body[-1] == "�":
         return "cut", "inside_character"
-    if _MARKS.search(body):
+    end = body[-MARK_SPAN:]  # longer than any mark; the text itself is judged whole below
+    if _MARKS.search(end):
         return "cut", "mark"
-    dots = _DOTS.search(body)
-    if not dots and _CLOSED.search(body):
+    dots = _DOTS.search(end)
+    if not dots and _CLOSED.search(end):
         return "closed", ""
     last = body[-1]
     thai = 0x0E00 <= ord(last) <= 0x0E7F
-    if thai or sum(0x0E00 <= ord(c) <= 0x0E7F for c in body) > 0.3 * len(body):
+    if thai or not body.isascii() and len(_THAI.findall(body)) > 0.3 * len(body):
         return "closed", ""
     if last == ";" and 0x0370 <= ord(re.sub(r"[^Ͱ-Ͽ]", "", body)[:1] or "a") <= 0x03FF:
         return "closed", ""
-    core = body[: dots.start()] if dots else body
-    found = _LAST_WORD.search(core.lower())
+    core = body[: len(body) - len(end) + dots.start()] if dots else body
+    found = _LAST_WORD.search(core.split()[-1].lower()) if core.strip() else None
     word = found[1] if found else ""
     if dots:
         if not core or core[-1] in ".!?。！？":

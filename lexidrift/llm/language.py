@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 # Frequent function words of languages in Latin script.
 STOPWORDS = {
@@ -17,8 +18,12 @@ STOPWORDS = {
     "nl": "de het een van en in is dat op te voor met niet zijn aan er om ook na tijdens zonder",
     "pl": "i w na z się nie do to jest że po od za bez przez dla przy jak ale jego",
 }
-_VOTES = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+_VOTES: dict[str, list[str]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _w in _words.split():
+        _VOTES.setdefault(_w, []).append(_lang)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_ASCII_WORD = re.compile("[a-z]+(?:'[a-z]+)?")
 _ASCII = re.compile("[\x00-\x7f]+")
 
 # First and last code point of the scripts told apart.
@@ -48,9 +53,11 @@ def language(text: str, least: int = 2) -> str | None:
         name, n = found.most_common(1)[0]
         if n > (0.25 if name in ("zh", "th", "hi") else 0.5) * letters:
             return name
-    words = Counter(_WORD.findall(text.lower()))
-    votes = sorted(((sum(words[w] for w in own), lang) for lang, own in _VOTES.items()), reverse=True)
-    (top, lang), (second, _) = votes[0], votes[1]
+    votes = dict.fromkeys(STOPWORDS, 0)
+    for word in filter(_VOTES.__contains__, (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())):
+        for lang in _VOTES[word]:
+            votes[lang] += 1
+    (lang, top), (_, second) = sorted(votes.items(), key=lambda v: -v[1])[:2]
     return lang if top >= least and top > second else None
 
 
@@ -81,6 +88,7 @@ def unquoted(text: str) -> str:
     return _QUOTED.sub(" ", text)
 
 
+@lru_cache(4096)
 def asked_language(prompt: str) -> str | None:
     """The language a prompt asks for by name, else the language it is written in."""
     bare = unquoted(prompt)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexidrift.llm.defects import cut_state, in_other_language, is_copy, is_empty, is_refusal, visible
 from lexidrift.llm.truncation import judge, vocabulary
+from lexidrift.plans.lineage import cut
 
 KEYS = ("rec_id", "side", "answer_no")
 
@@ -67,7 +68,7 @@ def defective(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A missing text counts as empty. Truncation comes before another language. Pairs
     delivered again count once.
     """
-    seen = first_look(pairs)
+    seen = cut(first_look(pairs))
     plain = seen.where("state is null").select(*KEYS, "defect")
     ends = seen.where("state is not null")
     cuts = judge(ends.select(*KEYS, "state", "word"), vocabulary(texts), KEYS).select(*KEYS, F.lit("truncated").alias("defect"))

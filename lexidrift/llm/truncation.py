@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidrift.llm.defects import cut_state, is_copy, is_empty, is_refusal, visible
+from lexidrift.plans.lineage import cut
 
 #: A word is known when it occurs so often away from an open end.
 KNOWN = 2
@@ -103,6 +104,7 @@ def judge(ends: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     joining on the trie's nodes); `inside_sentence`: it is known, and the text stops where
     no sentence does; `inside_character` and `mark` speak for themselves.
     """
+    ends, words = cut(ends), cut(words)
     asked = ends.where("state <> 'cut'").select("word").distinct()
     known = words.where(F.col("n") >= KNOWN)
     lengths = F.filter(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: i < F.length("word"))
