@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import encoding, leakage, overlap, pairs, repetition, sampling, sentences, splits, truncation
+from lexidrift.llm import encoding, leakage, mixing, overlap, pairs, repetition, sampling, sentences, splits, truncation
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,8 @@ def queries() -> dict[str, Query]:
     q["p7_by_side"] = lambda s, d: pairs.defects_by_source(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
     q["p8_found"] = lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id")
     q["p8_by_item"] = lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items"))
+    q["p9_mix"] = lambda s, d: mixing.mixture(table(s, d, "documents").select("doc_id", "source", "text"), table(s, d, "mix_targets"))
+    q["p9_shares"] = lambda s, d: mixing.mixture_shares(table(s, d, "documents").select("doc_id", "source", "text"), table(s, d, "mix_targets"))
     q["p10_found"] = lambda s, d: encoding.garbled_documents(table(s, d, "documents")).select("doc_id")
     q["p10_restored"] = lambda s, d: encoding.garbled_documents(table(s, d, "documents"))
     q["p10_learned"] = lambda s, d: encoding.learned_transformations(table(s, d, "documents"))
