@@ -108,7 +108,7 @@ def choose_counts(sizes: dict[int, int], target: int, span: int = BITSET_SPAN) -
             taken[size] = n
             left[size] -= n
             rest -= n * size
-    limit = rest + max([s for s, n in left.items() if n and s <= rest] or [0])
+    limit = min(2 * rest, sum(s * n for s, n in left.items()))  # a sum beyond twice the rest is worse than none
     parts: list[tuple[int, int]] = []
     for size, n in sorted(left.items()):
         k = 1
