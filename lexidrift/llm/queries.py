@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexidrift.llm import encoding, leakage, mixing, overlap, pairs, repetition, sampling, sentences, splits, truncation
+from lexidrift.llm import encoding, leakage, mixing, overlap, pairs, repetition, sampling, sentences, splits, sql, truncation
 from lexidrift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,8 @@ def queries() -> dict[str, Query]:
     q["p4_found"] = lambda s, d: overlap.overlapping_records(_raid(s, d, "id", "split_name", "source_id", "generation"))
     q["p4_classes"] = lambda s, d: overlap.overlap_classes(_raid(s, d, "id", "split_name", "source_id", "generation"))
     q["p4_report"] = lambda s, d: overlap.overlap_report(_raid(s, d, "id", "split_name", "source_id", "generation"))
-    q["p5_sample_by_id"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1)
-    q["p5_sample_by_source"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1, by="source_id")
+    q["p5_sample_by_id"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1).drop("loaded_at")
+    q["p5_sample_by_source"] = lambda s, d: sampling.stable_sample(_raid(s, d, "id", "source_id", "loaded_at"), 0.1, by="source_id").drop("loaded_at")
     q["p6_found"] = lambda s, d: truncation.truncated(_raid(s, d, "id", "prompt", "generation")).select("id")
     q["p6_by_model"] = lambda s, d: truncation.truncation_by_model(_raid(s, d, "id", "model", "prompt", "generation"))
     q["p7_found"] = lambda s, d: pairs.defective_pairs(_raid(s, d, "id", "prompt", "generation"), table(s, d, "hc3_answers"))
@@ -47,4 +47,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
