@@ -26,11 +26,20 @@ def tidy_source(value: Column) -> Column:
     return F.when(F.length(bare) == 32, bare)
 
 
-def records(raid: DataFrame) -> DataFrame:
-    """One row for each id with tidied `source_id`, `model` and `domain`; the smallest delivery stands. Null ids drop out."""
-    every = F.struct(*(f for f in FIELDS if f != "id"))
-    one = raid.where("id is not null").select(*FIELDS).groupBy("id").agg(F.min(every).alias("r")).select("id", "r.*")
-    return one.withColumns({"source_id": tidy_source(F.col("source_id")), "model": tidy_label(F.col("model")), "domain": tidy_label(F.col("domain"))})
+#: What the cell rules need; the prompt and title come from the sources.
+CELL_FIELDS = ("source_id", "model", "domain", "attack", "decoding", "repetition_penalty", "generation")
+
+
+def records(raid: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One row for each id with `fields`; `source_id`, `model` and `domain` are tidied.
+
+    Of several deliveries the smallest stands; null ids drop out. Name few fields: the
+    columns travel through the shuffle that finds repeated ids.
+    """
+    named = [f for f in fields if f != "id"]
+    one = raid.where("id is not null").select("id", *named).groupBy("id").agg(F.min(F.struct(*named)).alias("r")).select("id", "r.*")
+    tidy = {"source_id": tidy_source, "model": tidy_label, "domain": tidy_label}
+    return one.withColumns({f: tidy[f](F.col(f)) for f in named if f in tidy})
 
 
 def sources(echo_sources: DataFrame) -> DataFrame:
@@ -102,7 +111,7 @@ def sampled_answers(hc3: DataFrame, n: int = K.HC3_PER_STRATUM) -> DataFrame:
 
 def first_study(raid: DataFrame, hc3: DataFrame) -> DataFrame:
     """`(partition, doc_id, domain, model, source_id, text)` of the first study's five partitions."""
-    rows = records(raid)
+    rows = records(raid, ("source_id", "model", "domain", "attack", "generation"))
     models = sampled_models(rows)
     human = matched_humans(rows, models)
     parts = [
@@ -170,7 +179,7 @@ def second_study(raid: DataFrame, excluded: DataFrame, per_domain: int | None =
 
     Of several documents of a source and model the one with the smallest id stands.
     """
-    rows = records(raid)
+    rows = records(raid, CELL_FIELDS)
     split = phases(without_excluded(complete_sources(rows, required), excluded), per_domain)
     of_phase = ((F.col("phase") == "discovery") & F.col("model").isin("human", *K.DISCOVERY_MODELS)) | ((F.col("phase") == "validation") & F.col("model").isin("human", *K.VALIDATION_MODELS))
     arms = cell_rows(rows).join(split, ["domain", "source_id"]).where(of_phase)

@@ -19,7 +19,7 @@ SMALL_RULES = C.SecondStudyRules(min_lift=1.05, min_occurrences=2, min_doc_preva
 
 def three_corpora(raid: DataFrame, hc3: DataFrame) -> DataFrame:
     """`(corpus, doc_id, text)`: discovery models as `ai`, human records as `pre`, human answers as `contemporary`."""
-    rows = R.records(raid)
+    rows = R.records(raid, ("model", "generation"))
     ai = rows.where(F.col("model").isin(*K.DISCOVERY_MODELS)).select(F.lit("ai").alias("corpus"), F.col("id").alias("doc_id"), F.col("generation").alias("text"))
     pre = rows.where("model = 'human'").select(F.lit("pre").alias("corpus"), F.col("id").alias("doc_id"), F.col("generation").alias("text"))
     contemporary = R.answers(hc3).where("side = 'human'").select(F.lit("contemporary").alias("corpus"), F.concat_ws(":", "q_id", "answer_no").alias("doc_id"), "text")

@@ -31,8 +31,8 @@ def _three(s: SparkSession, d: str) -> DataFrame:
     return studies.three_corpora(table(s, d, "raid_train"), table(s, d, "hc3_answers"))
 
 
-def _records(s: SparkSession, d: str) -> DataFrame:
-    return R.records(table(s, d, "raid_train"))
+def _records(s: SparkSession, d: str, fields: tuple[str, ...] = R.CELL_FIELDS) -> DataFrame:
+    return R.records(table(s, d, "raid_train"), fields)
 
 
 def _first(s: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def queries() -> dict[str, Query]:
         "frame_counts": lambda s, d: P.pattern_counts(P.frame_rows(_three(s, d), KEYS), ["corpus", "kind", "pattern"]),
         "skeleton_tokens": lambda s, d: P.skeleton_rows(_three(s, d), KEYS).select(*KEYS, "para_idx", "sent_idx", F.array_join("skel", " ").alias("skeleton")),
         "skeleton_rates": lambda s, d: P.structural_rates(_three(s, d), ["corpus"], "doc_id"),
-        "strata_survey": lambda s, d: R.survey(_records(s, d)),
+        "strata_survey": lambda s, d: R.survey(_records(s, d, ("model", "domain", "attack", "decoding"))),
         "sampled_models": lambda s, d: R.sampled_models(_records(s, d)).select("partition", "domain", "model", "rank", "id"),
         "matched_humans": lambda s, d: R.matched_humans(_records(s, d), R.sampled_models(_records(s, d))).select("domain", "rank", "id"),
         "sampled_answers": lambda s, d: R.sampled_answers(table(s, d, "hc3_answers")).select("source", "side", "rank", "key"),
