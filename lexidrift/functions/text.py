@@ -96,6 +96,11 @@ def expand_negatives(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda t: F.coalesce(F.try_element_at(table, t), F.array(t))))
 
 
+def is_anchor(token: Column) -> Column:
+    """Whether a skeleton keeps the word; punctuation is no anchor."""
+    return token.isin(*K.ANCHORS)
+
+
 def collapse_slots(items: Column) -> Column:
     """Runs of the same slot become one; different slots side by side stay."""
     return F.filter(items, lambda t, i: ~(t.isin(K.SLOT, K.NUMBER_SLOT) & (i > 0) & (t == F.get(items, i - 1))))
@@ -105,7 +110,7 @@ def skeleton(normalised: Column) -> Column:
     """Skeleton tokens of text already in NFKC: anchors and punctuation stay, the rest becomes slots."""
     mapped = F.transform(
         expand_negatives(structural_tokens(normalised)),
-        lambda t: F.when(t.isin(*K.PUNCTUATION), t).when(t.rlike(r"^\p{Nd}"), F.lit(K.NUMBER_SLOT)).when(t.isin(*K.ANCHORS), t).otherwise(F.lit(K.SLOT)),
+        lambda t: F.when(t.isin(*K.PUNCTUATION), t).when(t.rlike(r"^\p{Nd}"), F.lit(K.NUMBER_SLOT)).when(is_anchor(t), t).otherwise(F.lit(K.SLOT)),
     )
     return collapse_slots(mapped)
 
@@ -117,7 +122,7 @@ def spans(items: Column, boundary: Column | None = None) -> Column:
     def from_start(i: Column) -> Column:
         lengths = F.filter(F.sequence(F.lit(K.MIN_SPAN), F.lit(K.MAX_SPAN)), lambda n: (i + n - 1 <= F.size(items)) & ((F.lit(True) if boundary is None else (i - 1 < boundary) & (boundary < i + n - 1))))
         cut = F.transform(lengths, lambda n: F.slice(items, i, n))
-        good = F.filter(cut, lambda s: F.size(F.filter(s, lambda t: t.isin(K.SLOT, K.NUMBER_SLOT))).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.size(F.filter(s, lambda t: t.isin(*K.ANCHORS))) >= K.MIN_ANCHORS))
+        good = F.filter(cut, lambda s: F.size(F.filter(s, lambda t: t.isin(K.SLOT, K.NUMBER_SLOT))).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.size(F.filter(s, is_anchor)) >= K.MIN_ANCHORS))
         return F.transform(good, lambda s: F.array_join(s, " "))
 
     every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(items) - F.lit(K.MIN_SPAN - 1)), from_start))

@@ -150,6 +150,17 @@ def structural_rates(documents: DataFrame, by: Sequence[str], key: str, text: st
     return joined.select(*by, "kind", "pattern", "occurrences", "documents_with", (ratio(F.col("occurrences"), units_) * 10_000).alias("per_10k"), (ratio(F.col("occurrences"), F.col("sentences") + F.col("adjacent_pairs")) * 10_000).alias("combined_per_10k"), ratio(F.col("documents_with"), F.col("documents")).alias("doc_prevalence"))
 
 
+def skeleton_types(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`(by…, kind, types, occurrences)`: distinct skeletons and their occurrences, from `structural_rates`."""
+    return rows.groupBy(*by, "kind").agg(F.count("*").alias("types"), F.sum("occurrences").alias("occurrences"))
+
+
+def ranked_families(rows: DataFrame, by: Sequence[str], top: int) -> DataFrame:
+    """The `top` most frequent skeletons of each family with their `rank`; the families are never in one ranking."""
+    order = Window.partitionBy(*by, "kind").orderBy(F.desc("occurrences"), "pattern")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def document_patterns(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """`(keys…, kind, pattern, n)`: n-grams and skeletons of each document."""
     return ngram_rows(documents, keys, text).select(*keys, F.lit(K.NGRAM).alias("kind"), "pattern", "n").unionByName(skeleton_counts(documents, keys, text))

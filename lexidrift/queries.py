@@ -25,6 +25,8 @@ KEYS = ["corpus", "doc_id"]
 
 #: Measured parameters for simulated power.
 MEASURED = S.ClusterParams(0.0132, 15.0, 1.476, 0.026, "published estimates of the calibration set")
+#: A spread around them for the gate query, as wide as the estimates of a small calibration set.
+SPREAD = {"source_dispersion_q1": 1.0, "source_dispersion_q3": 2.0, "model_dispersion_q1": 0.01, "model_dispersion_q3": 0.06, "base_rate_per_unit_q1": 0.010, "base_rate_per_unit_q3": 0.020}
 
 
 def _three(s: SparkSession, d: str) -> DataFrame:
@@ -104,6 +106,8 @@ def queries() -> dict[str, Query]:
         "frame_counts": lambda s, d: P.pattern_counts(P.frame_rows(_three(s, d), KEYS), ["corpus", "kind", "pattern"]),
         "skeleton_tokens": lambda s, d: P.skeleton_rows(_three(s, d), KEYS).select(*KEYS, "para_idx", "sent_idx", F.array_join("skel", " ").alias("skeleton")),
         "skeleton_rates": lambda s, d: P.structural_rates(_three(s, d), ["corpus"], "doc_id"),
+        "skeleton_types": lambda s, d: P.skeleton_types(P.structural_rates(_three(s, d), ["corpus"], "doc_id"), ["corpus"]),
+        "skeleton_top": lambda s, d: P.ranked_families(P.structural_rates(_three(s, d), ["corpus"], "doc_id"), ["corpus"], 50),
         "strata_survey": lambda s, d: R.survey(_records(s, d, ("model", "domain", "attack", "decoding"))),
         "sampled_models": lambda s, d: R.sampled_models(_records(s, d)).select("partition", "domain", "model", "rank", "id"),
         "matched_humans": lambda s, d: R.matched_humans(_records(s, d), R.sampled_models(_records(s, d))).select("domain", "rank", "id"),
@@ -131,6 +135,7 @@ def queries() -> dict[str, Query]:
         "power_curve": lambda s, d: S.power_curve(s, MEASURED, S.GRID, replicates=200),
         "power_selected": lambda s, d: S.smallest_sources(S.power_curve(s, MEASURED, S.GRID, replicates=200)),
         "power_stress": lambda s, d: s.createDataFrame([(x.name, S.power_at(s, MEASURED, 200, 1.0, 100, S.SEED, x)) for x in S.STRESS_SCENARIOS], "scenario string, qualifying double"),
+        "power_gate": lambda s, d: S.gate_report(s, MEASURED, SPREAD, replicates=60, grid=(50, 70, 100)),
         "word_dispersion": _dispersion,
         "sentence_quartiles": _quartiles,
         "content_hashes": _hashes,

@@ -212,3 +212,25 @@ def test_readers_and_writers(spark, tmp_path):
     study = spark.createDataFrame([("p1", "d1", "news", "gpt4", None, "Text."), ("p1", "d2", "abs", "gpt4", None, "More.")], "partition string, doc_id string, domain string, model string, source_id string, text string")
     writers.study_corpus(study, str(tmp_path / "study"))
     assert {(r.file, r.doc_id) for r in spark.read.parquet(str(tmp_path / "study/documents")).collect()} == {("doc0001.txt", "d2"), ("doc0002.txt", "d1")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexidrift.__main__ import main
+
+    for name, text in (("ai", "It is not speed, but time."), ("pre", "A red ball."), ("contemporary", "One day.")):
+        (tmp_path / name).mkdir()
+        for i in range(2):
+            (tmp_path / name / f"{i}.txt").write_text(text)
+    out = tmp_path / "result.csv"
+    assert main(["compare", "--ai", str(tmp_path / "ai"), "--pre", str(tmp_path / "pre"), "--contemporary", str(tmp_path / "contemporary"), "--output", str(out)]) == 0
+    assert "not <X> but <Y>" in out.read_text()
+    (tmp_path / "r.csv").write_text("id,model,domain,attack,decoding\n1,gpt4,news,none,greedy\n")
+    assert main(["survey", str(tmp_path / "r.csv")]) == 0
+    assert "field=model  value=gpt4  rows=1" in capsys.readouterr().out
+
+
+def test_gate_report(spark):
+    from lexidrift.queries import SPREAD
+
+    got = {(r.scenario, r.sources): r.power for r in S.gate_report(spark, PARAMS, SPREAD, 20, 5, (60, 120)).collect()}
+    assert len(got) == 9 and got["optimistic", 120] >= got["pessimistic", 120] and got["stress: none", 120] == 0.0
