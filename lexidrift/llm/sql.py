@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexidrift.llm.keys import PLACEHOLDERS
+from lexidrift.llm.repetition import LENGTHS, MIN_SHARE
 from lexidrift.llm.sampling import HEX_DIGITS, SALT
 
 
@@ -30,7 +31,16 @@ def oracle_sql() -> dict[str, str]:
         family as (select distinct source_id, coalesce(root, b) as f from raw left join roots on n = b where b is not null)
         select p.source_id as source_id_1, q.source_id as source_id_2 from family p join family q on p.f = q.f and p.source_id < q.source_id"""
     own = canonical("id")
+    n = LENGTHS[0]
+    repetitive = f"""
+        with letters as (select id, regexp_replace(lower(any_value(generation)), '[^\\p{{L}}\\p{{N}}]', '', 'g') as s from raid_train group by id),
+        starts as (select id, s, unnest(range(1, length(s) - {n} + 2)) as i from letters where length(s) > {n}),
+        windows as (select id, i, min(i) over (partition by id, substr(s, i, {n})) as first from starts),
+        later as (select id, i, lead(i) over (partition by id order by i) as next from windows where i > first),
+        covered as (select id, sum(least({n}, coalesce(next - i, {n}))) as c from later group by id)
+        select id from covered join letters using (id) where c >= {MIN_SHARE} * length(s)"""
     return {
+        "p2_found": repetitive,
         "p1_found": families,
         "p5_sample_by_id": sample(0.1, f"coalesce({own}, id)"),
         "p5_sample_by_source": sample(0.1, f"coalesce({canonical('source_id')}, {own}, id)"),
