@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from lexidrift.functions import constants as K
 
@@ -80,6 +80,16 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def nfkc_all(texts: Column) -> Column:
+    """The same for every text of an array."""
+    return _nfkc_all(texts)
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility normalisation; Spark has no expression for it."""
     return _nfkc(text)

@@ -119,10 +119,13 @@ def skeleton_rows(documents: DataFrame, keys: Sequence[str], text: str = "text")
     """`(keys…, para_idx, sent_idx, skel, next)`: skeleton tokens of each sentence and of its right neighbour.
 
     Sentences are cut first and normalised then, as normalising may create new tokens.
+    Neighbours come from their places in the paragraph's array, so nothing is shuffled.
     """
-    sents = sentence_rows(documents, keys, text).select(*keys, "para_idx", "sent_idx", T.nfkc(F.col("sentence")).alias("normal"))
-    skel = sents.select(*keys, "para_idx", "sent_idx", T.skeleton(F.col("normal")).alias("skel"))
-    return skel.withColumn("next", F.lead("skel").over(Window.partitionBy(*keys, "para_idx").orderBy("sent_idx")))
+    paras = segmented(documents.select(*keys, text), text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
+    normal = paras.select(*keys, "para_idx", T.nfkc_all(F.col("sents")).alias("sents"))
+    skels = normal.select(*keys, "para_idx", F.transform("sents", T.skeleton).alias("skels"))
+    placed = F.transform("skels", lambda s, i: F.struct(s.alias("skel"), F.get("skels", i + 1).alias("next")))
+    return skels.select(*keys, "para_idx", F.posexplode(placed).alias("sent_idx", "s")).select(*keys, "para_idx", "sent_idx", "s.skel", "s.next")
 
 
 def skeleton_counts(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
