@@ -141,13 +141,15 @@ class SuffixAutomaton:
 
 
 @lru_cache(4096)
-def _automaton(prompt: str) -> tuple[SuffixAutomaton, frozenset[str], int]:
+def _automaton(prompt: str) -> tuple[SuffixAutomaton, frozenset[str], list[str]]:
     words = tokens(prompt)
-    return SuffixAutomaton(words), frozenset(words), len(words)
+    return SuffixAutomaton(words), frozenset(words), words
 
 
 #: A copy may differ from the prompt in this many words, or in this share of a long one, and in no longer run.
 SPARE_WORDS, SPARE_SHARE, SPARE_RUN = 2, 0.25, 3
+#: Or, where it has as many words, this share of them stand in their places.
+IN_PLACE = 0.65
 
 
 def uncopied(prompt: str, words: list[str]) -> tuple[int, int]:
@@ -173,11 +175,14 @@ _LEAD = re.compile(r"^[^:：\n]{1,40}[:：]\s*(?=\S)")
 
 def is_copy(prompt: str, text: str) -> bool:
     """Nothing but the prompt: restyled, quoted, labelled, repeated, or with a word or two exchanged."""
-    _, known, size = _automaton(prompt)
+    _, known, own = _automaton(prompt)
+    size = len(own)
     if not size:
         return False
     for body in dict.fromkeys((text, _LEAD.sub("", text))):
         words = tokens(body)
+        if len(words) == size >= 4 and sum(a == b for a, b in zip(own, words, strict=True)) >= IN_PLACE * size:
+            return True
         # a word that the prompt doesn't hold lies outside, so most answers end here
         if len(set(words).difference(known, LABELS)) > max(SPARE_WORDS, SPARE_SHARE * len(words)):
             continue
