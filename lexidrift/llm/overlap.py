@@ -1,9 +1,10 @@
 """Problem 4: records of evaluation splits whose text also stands in the training split.
 
 Texts are reduced to comparable words. Identical reductions form one class. Classes get
-a minwise signature over word shingles; bands of it are joined between the two sides
-only, so no pair inside a side ever arises. Every candidate is verified exactly: the
-longest common subsequence of words against the longer text, and the Jaccard similarity
+a minwise signature over words and pairs of words; bands of it are joined between the two
+sides only, so no pair inside a side ever arises. A sketch of the bag of words, which
+must be alike in every true pair, drops most chance hits inside the join. Every candidate
+is verified exactly: the longest common subsequence of words against the longer text, and the Jaccard similarity
 of the shingles. Pairs of classes are expanded to records only where a query asks for it.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,14 @@ from pyspark.sql import functions as F
 
 from lexidrift.plans.lineage import cut
 
-#: Words of a shingle (characters where a script sets no blanks), bands, rows of a band.
-#: At a shingle similarity of 0.5 a pair is missed once in seventy, at 0.6 never in practice.
-SHINGLE, CHARACTERS, BANDS, ROWS = 5, 12, 32, 3
+#: Words of a shingle of the reported similarity.
+SHINGLE = 5
+#: Bands, each of the minima of one word and of two pairs of neighbouring words (characters where a script sets no
+#: blanks). Agreement a means a similarity of the words of at least a / (2 - a), and of the pairs of a^2 / (2 - a^2)
+#: where single words differ at scattered places: at 0.70 one such pair in a hundred is missed, from 0.75 on none in practice.
+BANDS = 80
+#: Minima of words whose last two bits make the sketch, and standard deviations by which it may fall short.
+SKETCH, SLACK = 128, 3.2
 MIN_LETTERS = 300
 MIN_AGREEMENT = 0.70
 
@@ -75,29 +81,48 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def band_keys(counts: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """A row of band hashes for each text; `counts` words of each (at least `size`), one after another in `words`."""
+def _factors(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _numbered(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of words with the number of their occurrence in the text, so that sets of them are bags of words."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((words, owner))
+    w, o = words[order], owner[order]
+    first = np.ones(len(w), dtype=bool)
+    first[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+    at = np.arange(len(w))
+    rank = np.empty(len(w), dtype=np.uint64)
+    rank[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return _mixed(words + rank * np.uint64(0x9E3779B97F4A7C15))
+
+
+def signatures(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes and sketch of each text, a row each; `counts` words of each (at least two), one after another in `words`."""
     with np.errstate(over="ignore"):
-        shingles = shingle_hashes(words, size)
         ends = np.cumsum(counts)
+        single = _numbered(counts, words)
+        pairs = np.delete(shingle_hashes(words, 2), ends[:-1] - 1)
         starts = ends - counts
-        mine = np.ones(len(shingles), dtype=bool)
-        for k in range(1, size):
-            inner = ends[:-1] - k
-            mine[inner[(inner >= 0) & (inner < len(mine))]] = False
-        at = np.concatenate([[0], np.cumsum(mine)])
-        shingles = shingles[mine]
-        offsets = at[np.minimum(starts, len(mine))]
-        rng = np.random.default_rng(20240229)
-        factors = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out = np.zeros((len(counts), BANDS), dtype=np.uint64)
+        of_words = [_mixed(np.minimum.reduceat(single * f, starts)) for f in _factors(SKETCH, 20240229)]
+        of_pairs = [_mixed(np.minimum.reduceat(pairs * f, starts - np.arange(len(counts)))) for f in _factors(BANDS, 20240301)]
+        bands = np.empty((len(counts), BANDS), dtype=np.uint32)
         for b in range(BANDS):
-            key = np.full(len(counts), b + 1 + BANDS * size, dtype=np.uint64)
-            for r in range(ROWS):
-                rolled = shingles * factors[b * ROWS + r]
-                key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(rolled, offsets))
-            out[:, b] = key
-    return out
+            key = np.uint64(b + 1)
+            for x in (of_words[b], of_pairs[b], of_pairs[(b + 1 + b % 7) % BANDS]):
+                key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + x)
+            bands[:, b] = key >> np.uint64(32)
+        sketch = np.zeros((len(counts), SKETCH // 32), dtype=np.uint64)
+        for k, x in enumerate(of_words):
+            sketch[:, k // 32] |= (x >> np.uint64(62)) << np.uint64(2 * (k % 32))
+    return bands, sketch
+
+
+def least_alike(least: float) -> int:
+    """Equal minima that the sketches of two texts with that agreement have, almost surely."""
+    p = (1 + 3 * least / (2 - least)) / 4
+    return int(SKETCH * p - SLACK * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _reduced(records: DataFrame) -> DataFrame:
@@ -122,35 +147,31 @@ def features(records: DataFrame) -> DataFrame:
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """`(n, in_eval, in_train, words, bands)` from `(n, in_eval, in_train, text)`."""
+    """`(n, in_eval, in_train, words, code, sketch, bands)` from `(n, in_eval, in_train, text)`; `code` has a byte for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
-            counts = np.zeros(batch.num_rows, dtype=np.int32)
-            lots: dict[int, tuple[list[int], list[str]]] = {SHINGLE: ([], []), CHARACTERS: ([], [])}
+            if not batch.num_rows:
+                continue
+            counts, stream = np.zeros(batch.num_rows, dtype=np.int64), []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 words = comparable_words(text)
+                words += [""] * (2 - len(words))
                 counts[i] = len(words)
-                size = CHARACTERS if sum(map(len, words)) < 2 * len(words) else SHINGLE
-                where, stream = lots[size if len(words) >= size else SHINGLE]
-                where.append(i)
-                stream.extend(words if len(words) >= SHINGLE else words + [""] * (SHINGLE - len(words)))
-            for size, (where, stream) in lots.items():
-                if where:
-                    n = np.maximum(counts[where].astype(np.int64), SHINGLE)
-                    keys[where] = band_keys(n, np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream)), size)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts), bands], names=["n", "in_eval", "in_train", "words", "bands"])
+                stream.extend(words)
+            hashes = np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
+            code = [x.tobytes() for x in np.split(hashes.astype(np.uint8), np.cumsum(counts)[:-1])]
+            bands, sketch = (pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(f"i{x.itemsize}").ravel())) for x in signatures(counts, hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts.astype(np.int32)), pa.array(code, pa.binary()), sketch, bands], names=["n", "in_eval", "in_train", "words", "code", "sketch", "bands"])
 
-    return texts.mapInArrow(run, "n long, in_eval boolean, in_train boolean, words int, bands array<long>")
+    return texts.mapInArrow(run, "n long, in_eval boolean, in_train boolean, words int, code binary, sketch array<long>, bands array<int>")
 
 
-def common_words(a: list[str], b: list[str]) -> int:
+def common_words(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence, by bit vectors."""
     if len(a) < len(b):
         a, b = b, a
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(b):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(b)) - 1
@@ -163,7 +184,7 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(b) - v.bit_count()
 
 
-def agreement(a: list[str], b: list[str]) -> float:
+def agreement(a: Sequence, b: Sequence) -> float:
     """Share of the longer text's words that the other has in the same order."""
     return common_words(a, b) / max(len(a), len(b), 1)
 
@@ -180,6 +201,23 @@ def _same_words(a: list[str], b: list[str]) -> float:
     return (Counter(a) & Counter(b)).total() / max(len(a), len(b), 1)
 
 
+def in_order(candidates: DataFrame, codes: DataFrame, least: float) -> DataFrame:
+    """The candidates whose codes agree: no fewer than those whose words do, without moving the texts."""
+    both = candidates.join(codes.select(F.col("n").alias("train_n"), F.col("code").alias("train_code")), "train_n").join(codes.select(F.col("n").alias("eval_n"), F.col("code").alias("eval_code")), "eval_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag = lru_cache(4096)(lambda code: np.bincount(np.frombuffer(code, np.uint8), minlength=256))
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if np.minimum(bag(a), bag(b)).sum() >= (least - 1e-9) * max(len(a), len(b)) and agreement(a, b) >= least - 1e-9:
+                    keep.append(i)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["train_n", "eval_n"])
+
+    return both.select("train_n", "eval_n", "train_code", "eval_code").mapInArrow(run, "train_n long, eval_n long")
+
+
 def overlapping_classes(records: DataFrame, described: DataFrame, least: float = MIN_AGREEMENT) -> DataFrame:
     """`(train_cls, eval_cls, agreement, jaccard)` of confirmed pairs, identical texts included.
 
@@ -190,11 +228,14 @@ def overlapping_classes(records: DataFrame, described: DataFrame, least: float =
     classes = cut(classes.withColumn("n", F.monotonically_increasing_id()))
     same = classes.where("in_eval and in_train").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("agreement"), F.lit(1.0).alias("jaccard"))
     texts = _reduced(records).select("id", F.col("generation").alias("text"))
-    keys = cut(banded(texts.join(classes.select("id", "n", "in_eval", "in_train"), "id").select("n", "in_eval", "in_train", "text")).dropDuplicates(["n"]))
-    train = keys.where("in_train").select(F.col("n").alias("train_n"), F.col("words").alias("train_words"), F.explode("bands").alias("band"))
-    evaluation = keys.where("in_eval").select(F.col("n").alias("eval_n"), F.col("words").alias("eval_words"), F.explode("bands").alias("band"))
+    keys = cut(banded(texts.join(classes.select("id", "n", "in_eval", "in_train"), "id").dropDuplicates(["id"]).select("n", "in_eval", "in_train", "text")))
+    sketches = range(SKETCH // 32)
+    train, evaluation = (keys.where(f"in_{x}").select(F.col("n").alias(f"{x}_n"), F.col("words").alias(f"{x}_words"), *(F.col("sketch")[k].alias(f"{x}_{k}") for k in sketches), F.explode("bands").alias("band")) for x in ("train", "eval"))
     long_enough = F.least("train_words", "eval_words") >= F.ceil(F.greatest("train_words", "eval_words") * F.lit(least) - 1e-9)
-    candidates = cut(train.join(evaluation, "band").where(long_enough & (F.col("train_n") != F.col("eval_n"))).select("train_n", "eval_n").distinct())
+    differ = [F.col(f"train_{k}").bitwiseXOR(F.col(f"eval_{k}")) for k in sketches]
+    unlike = sum(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in differ)
+    candidates = cut(train.join(evaluation, "band").where(long_enough & (F.col("train_n") != F.col("eval_n")) & (unlike <= SKETCH - least_alike(least))).select("train_n", "eval_n").distinct())
+    candidates = cut(in_order(candidates, keys.select("n", "code"), least))
     named = candidates.select(F.col("train_n").alias("n")).unionByName(candidates.select(F.col("eval_n").alias("n"))).distinct()
     wanted = classes.join(named, "n", "left_semi").select("id", "n", "cls")
     found = cut(texts.join(wanted, "id").groupBy("n").agg(F.min("cls").alias("cls"), F.min("text").alias("text")))
