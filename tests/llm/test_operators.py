@@ -391,6 +391,24 @@ def test_garbled_text_comes_back(spark):
     assert encoding.garbled_documents(d.where("false")).count() == 0
 
 
+def test_a_large_garbled_group_is_found(spark):
+    """Garbled apostrophes outnumber the right ones; neither copies nor different sentences hide them."""
+    fine = [(i, f"It’s the keeper’s lamp number {i} that glows.") for i in range(5)]
+    garbled = [(100 + i, f"That’s not Anna’s boat but Peter’s, entry {i // 2}.".encode().decode("cp1252")) for i in range(40)]
+    d = spark.createDataFrame(fine + garbled, "doc_id long, text string")
+    assert {r.doc_id for r in encoding.garbled_documents(d).collect()} == {i for i, _ in garbled}
+
+
+def test_twins_show_swaps_of_few_letters(spark):
+    """Four accents read in another code page are too few without twins; one twin shows the swap."""
+    text = "Der Müller trägt größere Körbe zum alten Hafen"
+    sound = [(i, f"Der Müller trägt größere Körbe zum alten Hafen Nr {i}.") for i in range(30)]
+    swapped = [(100, (text + " Nr 3.").encode("mac-roman").decode("cp1252")), (101, "Die Körbe der Müller im Süden.".encode("mac-roman").decode("cp1252"))]
+    d = spark.createDataFrame(sound + swapped, "doc_id long, text string")
+    assert "mac-roman as cp1252" in {r.transformation for r in encoding.learned_transformations(d).collect()}
+    assert {r.doc_id for r in encoding.garbled_documents(d).collect()} == {100, 101}
+
+
 @pytest.mark.parametrize("codec", encoding.MISREAD)
 def test_misread_round_trip(codec):
     text = "über Żółć – “naïve” жаба 水"
