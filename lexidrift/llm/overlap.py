@@ -1,11 +1,13 @@
 """Problem 4: records of evaluation splits whose text also stands in the training split.
 
-Texts are reduced to comparable words. Identical reductions form one class. Classes get
-a minwise signature over words and pairs of words; bands of it are joined between the two
-sides only, so no pair inside a side ever arises. A sketch of the bag of words, which
-must be alike in every true pair, drops most chance hits inside the join. Every candidate
-is verified exactly: the longest common subsequence of words against the longer text, and the Jaccard similarity
-of the shingles. Pairs of classes are expanded to records only where a query asks for it.
+Texts are reduced to comparable words. Identical reductions form one class, numbered by
+its hash. Classes get a minwise signature of their bag of words in which rare words weigh
+more, as the corpus counts them; bands of it are joined between the two sides only, so no
+pair inside a side ever arises, and a sketch of the signature drops most chance hits inside
+the join. What is left goes, without the texts, to the tiles of a grid of both sides, where
+one byte a word bounds the words in common and then their longest common subsequence.
+Every pair that remains is verified exactly on its texts. Pairs of classes are expanded to
+records only where a query asks for it.
 """
 
 from __future__ import annotations
@@ -19,19 +21,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexidrift.llm.screen import bits_for, passes, screen
 from lexidrift.plans.lineage import cut
 
 #: Words of a shingle of the reported similarity.
 SHINGLE = 5
-#: Bands, each of the minima of one word and of two pairs of neighbouring words (characters where a script sets no
-#: blanks). Agreement a means a similarity of the words of at least a / (2 - a), and of the pairs of a^2 / (2 - a^2)
-#: where single words differ at scattered places: at 0.70 one such pair in a hundred is missed, from 0.75 on none in practice.
-BANDS = 80
-#: Minima of words whose last two bits make the sketch, and standard deviations by which it may fall short.
-SKETCH, SLACK = 128, 3.2
+#: Bands, and minima of a band. Agreement a means a similarity of the bags of words of a / (2 - a): at 0.70 a band
+#: is shared with probability 0.15, so that of 32 bands at least one is in 99 of 100 pairs.
+BANDS, ROWS = 32, 3
+#: Minima of the signature, each with one bit in the sketch, and standard deviations by which a true pair's sketch may fall short.
+SKETCH, SLACK = 117, 2.5
+#: Steps of a factor e in which a text's length stands beside its sketch.
+STEPS = 50
+#: Buckets of word hashes in which the corpus counts documents, so a table of fixed size holds the weights.
+COUNTERS = 1 << 18
+#: Texts below which a word counts as being in so many.
+SELDOM = 8
+#: Texts of a side in one tile of the grid at most; a byte a word, so some ten megabytes.
+TILE = 50_000
 MIN_LETTERS = 300
 MIN_AGREEMENT = 0.70
 
@@ -98,31 +108,69 @@ def _numbered(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _mixed(words + rank * np.uint64(0x9E3779B97F4A7C15))
 
 
-def signatures(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and sketch of each text, a row each; `counts` words of each (at least two), one after another in `words`."""
+#: Bits of the sketch in the number that also holds the length.
+_LOW = SKETCH - 64
+
+
+def unlike(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches differ, row by row."""
+    return np.bitwise_count((marks[:, 0] ^ others[:, 0]) & np.uint64((1 << _LOW) - 1)).astype(int) + np.bitwise_count(marks[:, 1] ^ others[:, 1])
+
+
+@lru_cache(1)
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    """Factors of the minima, and the minima that each band is made of."""
+    rng = np.random.default_rng(20240301)
+    return _factors(SKETCH, 20240229), np.array([rng.choice(SKETCH, ROWS, replace=False) for _ in range(BANDS)])
+
+
+def word_weights(documents: np.ndarray, total: int) -> np.ndarray:
+    """Weight of each bucket of words: one, and one more for each halving of the share of texts that hold it.
+
+    Below `SELDOM` texts all weigh the same, so what only a few copies share weighs no less than what one of them changed.
+    """
+    return np.floor(np.log2(np.maximum(total // np.maximum(documents, SELDOM), 1) + 0.5)).astype(np.uint8) + np.uint8(1)
+
+
+def signatures(counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes and marks of each text, a row each; `counts` words of each, one after another in `words`.
+
+    Two numbers mark a text: they hold the sketch and, above its first `_LOW` bits, the length in steps. A minimum is taken of hashes
+    divided by their word's weight, so two texts share it in proportion to the weight of
+    what they share.
+    """
+    factors, chosen = _draws()
     with np.errstate(over="ignore"):
-        ends = np.cumsum(counts)
+        starts = np.cumsum(counts) - counts
         single = _numbered(counts, words)
-        pairs = np.delete(shingle_hashes(words, 2), ends[:-1] - 1)
-        starts = ends - counts
-        of_words = [_mixed(np.minimum.reduceat(single * f, starts)) for f in _factors(SKETCH, 20240229)]
-        of_pairs = [_mixed(np.minimum.reduceat(pairs * f, starts - np.arange(len(counts)))) for f in _factors(BANDS, 20240301)]
+        scale = 1.0 / weights[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        minima = np.empty((SKETCH, len(counts)), dtype=np.uint64)
+        for k, f in enumerate(factors):
+            minima[k] = np.minimum.reduceat((_mixed(single * f) >> np.uint64(11)).astype(np.float64) * scale, starts).view(np.uint64)
+        minima = _mixed(minima)
         bands = np.empty((len(counts), BANDS), dtype=np.uint32)
-        for b in range(BANDS):
+        for b, members in enumerate(chosen):
             key = np.uint64(b + 1)
-            for x in (of_words[b], of_pairs[b], of_pairs[(b + 1 + b % 7) % BANDS]):
-                key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + x)
+            for k in members:
+                key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + minima[k])
             bands[:, b] = key >> np.uint64(32)
-        sketch = np.zeros((len(counts), SKETCH // 32), dtype=np.uint64)
-        for k, x in enumerate(of_words):
-            sketch[:, k // 32] |= (x >> np.uint64(62)) << np.uint64(2 * (k % 32))
-    return bands, sketch
+        marks = np.zeros((len(counts), 2), dtype=np.uint64)
+        marks[:, 0] = np.floor(np.log(np.maximum(counts, 1)) * STEPS).astype(np.uint64) << np.uint64(_LOW)
+        for k in range(SKETCH):
+            word, bit = (0, k) if k < _LOW else (1, k - _LOW)
+            marks[:, word] |= (minima[k] >> np.uint64(63)) << np.uint64(bit)
+    return bands, marks
 
 
-def least_alike(least: float) -> int:
-    """Equal minima that the sketches of two texts with that agreement have, almost surely."""
-    p = (1 + 3 * least / (2 - least)) / 4
-    return int(SKETCH * p - SLACK * (SKETCH * p * (1 - p)) ** 0.5)
+def most_unlike(least: float) -> int:
+    """Bits in which the sketches of two texts with that agreement differ at most, almost surely."""
+    p = (1 - least / (2 - least)) / 2
+    return int(SKETCH * p + SLACK * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def _number(cls: Column) -> Column:
+    """The number of a class: the first 64 bits of its hash."""
+    return F.conv(F.substring(cls, 1, 16), 16, -10).cast("long")
 
 
 def _reduced(records: DataFrame) -> DataFrame:
@@ -130,41 +178,245 @@ def _reduced(records: DataFrame) -> DataFrame:
     return records.where(F.col("id").isNotNull() & split.isin("train", "validation", "test") & (F.length("generation") >= MIN_LETTERS)).select("id", split.alias("split_name"), "source_id", "generation")
 
 
-def features(records: DataFrame) -> DataFrame:
-    """`(id, split_name, source_id, evaluation, cls)` of records of a split with enough letters."""
+def _stream(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of the texts with enough letters their places, numbers of words, and hashes of all words."""
+    keep, counts, stream = [], [], []
+    for i, text in enumerate(texts):
+        if sum(map(str.isalnum, text)) >= MIN_LETTERS:
+            words = comparable_words(text) or [""]
+            keep.append(i)
+            counts.append(len(words))
+            stream.extend(words)
+    return keep, np.array(counts, dtype=np.int64), np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
+
+
+def _classes(counts: np.ndarray, words: np.ndarray) -> list[str]:
+    ends = np.cumsum(counts)
+    return [xxhash.xxh3_128_hexdigest(words[e - c : e].tobytes()) for c, e in zip(counts, ends, strict=True)]
+
+
+def _described(records: DataFrame) -> DataFrame:
+    """Rows `(id, split_name, source_id, cls)` of the records of a split with enough letters, and, of each task, rows
+    `(buckets, documents)` that count its texts by bucket of words; one pass gives both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, dtype=np.int64)
+        names = ["id", "split_name", "source_id", "cls", "buckets", "documents"]
         for batch in batches:
-            keep, classes = [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                if sum(map(str.isalnum, text)) >= MIN_LETTERS:
-                    keep.append(i)
-                    classes.append(xxhash.xxh3_128_hexdigest(" ".join(comparable_words(text))))
+            keep, counts, words = _stream(batch.column(3).to_pylist())
+            bucket = np.unique(np.repeat(np.arange(len(counts)), counts) * COUNTERS + (words & np.uint64(COUNTERS - 1)).astype(np.int64)) % COUNTERS
+            seen += np.bincount(bucket, minlength=COUNTERS)
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes, pa.string())], names=["id", "split_name", "source_id", "cls"])
+            none = pa.nulls(len(keep), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(_classes(counts, words), pa.string()), none, none], names=names)
+        held = np.flatnonzero(seen)
+        if len(held):
+            told = [pa.array([x], pa.list_(pa.int32())) for x in (held.astype(np.int32), np.minimum(seen[held], 2**31 - 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.string()) for _ in range(4)), *told], names=names)
+
+    return _reduced(records).mapInArrow(run, "id string, split_name string, source_id string, cls string, buckets array<int>, documents array<int>")
+
 
-    return _reduced(records).mapInArrow(run, "id string, split_name string, source_id string, cls string").withColumn("evaluation", F.col("split_name") != "train")
+def features(records: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """`(id, split_name, source_id, evaluation, cls, n)` of records of a split with enough letters, stored, and the word weights.
+
+    The weights count every text; to the driver come at most `COUNTERS` sums.
+    """
+    both = cut(_described(records))
+    told = both.where("cls is not null").select("id", "split_name", "source_id", (F.col("split_name") != "train").alias("evaluation"), "cls", _number(F.col("cls")).alias("n"))
+    sums = both.where("cls is null").select(F.explode(F.arrays_zip("buckets", "documents")).alias("x")).groupBy("x.buckets").agg(F.sum("x.documents").alias("documents")).toPandas()
+    documents = np.zeros(COUNTERS, dtype=np.int64)
+    documents[sums["buckets"].to_numpy(dtype=np.int64)] = sums["documents"].to_numpy(dtype=np.int64)
+    return told, word_weights(documents, told.count())
 
 
-def banded(texts: DataFrame) -> DataFrame:
-    """`(n, in_eval, in_train, words, code, sketch, bands)` from `(n, in_eval, in_train, text)`; `code` has a byte for each word."""
+def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
+    """`(n, evaluation, mark, mark2, code, bands)` of each class and side; `code` has a byte for each word.
+
+    A task leaves out the copies of a text it has seen, so of a text with many copies a row a task remains.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bool]] = set()
         for batch in batches:
-            if not batch.num_rows:
+            keep, counts, words = _stream(batch.column(1).to_pylist())
+            sides = batch.column(0).to_pylist()
+            names = _classes(counts, words)
+            fresh = [k for k, cls in enumerate(names) if (cls, sides[keep[k]]) not in seen and not seen.add((cls, sides[keep[k]]))]
+            if not fresh:
                 continue
-            counts, stream = np.zeros(batch.num_rows, dtype=np.int64), []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                words = comparable_words(text)
-                words += [""] * (2 - len(words))
-                counts[i] = len(words)
-                stream.extend(words)
-            hashes = np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
-            code = [x.tobytes() for x in np.split(hashes.astype(np.uint8), np.cumsum(counts)[:-1])]
-            bands, sketch = (pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(f"i{x.itemsize}").ravel())) for x in signatures(counts, hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts.astype(np.int32)), pa.array(code, pa.binary()), sketch, bands], names=["n", "in_eval", "in_train", "words", "code", "sketch", "bands"])
+            parts = np.split(words, np.cumsum(counts)[:-1])
+            counts, parts = counts[fresh], [parts[k] for k in fresh]
+            bands, marks = signatures(counts, np.concatenate(parts), shared.value)
+            numbers = np.array([int(names[k][:16], 16) for k in fresh], dtype=np.uint64).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers), pa.array([sides[keep[k]] for k in fresh], pa.bool_()), *(pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in (0, 1)), pa.array([x.astype(np.uint8).tobytes() for x in parts], pa.binary()), bands],
+                names=["n", "evaluation", "mark", "mark2", "code", "bands"],
+            )
+
+    rows = _reduced(records).select((F.col("split_name") != "train").alias("evaluation"), "generation")
+    return rows.mapInArrow(run, "n long, evaluation boolean, mark long, mark2 long, code binary, bands array<int>")
+
+
+def band_matches(keys: DataFrame, least: float) -> DataFrame:
+    """`(train_n, eval_n)` of different classes that share a band, are of like length, and whose sketches are alike; repeats kept."""
+    train, evaluation = (keys.where(F.col("evaluation") == side).select(F.col("n").alias(f"{name}_n"), *(F.col(m).alias(f"{name}_{m}") for m in ("mark", "mark2")), F.explode("bands").alias("band")) for name, side in (("train", False), ("eval", True)))
+    differ = F.bit_count(F.col("train_mark").bitwiseXOR(F.col("eval_mark")).bitwiseAND(F.lit((1 << _LOW) - 1))) + F.bit_count(F.col("train_mark2").bitwiseXOR(F.col("eval_mark2")))
+    apart = F.abs(F.shiftright("train_mark", _LOW) - F.shiftright("eval_mark", _LOW))
+    near = (F.col("train_n") != F.col("eval_n")) & (apart <= int(STEPS * -np.log(least)) + 1) & (differ <= most_unlike(least))
+    return train.join(evaluation, "band").where(near).select("train_n", "eval_n")
+
+
+#: Words of 64 bits for which vectors of many pairs side by side are faster than one long integer a pair.
+MOST_LANES = 32
+
+
+def subsequences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of byte strings, all pairs side by side, by bit vectors."""
+    if max(map(len, [*a, *b])) > 64 * MOST_LANES:
+        return np.array([common_words(x.tobytes(), y.tobytes()) for x, y in zip(a, b, strict=True)])
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+    bits, steps = np.array([len(x) for x in short]), np.array([len(x) for x in long])
+    order = np.argsort(-steps, kind="stable")
+    lanes = max(1, (int(bits.max()) + 63) // 64)
+    place = np.concatenate([np.arange(len(short[i])) for i in order]) if bits.any() else np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(order)), bits[order])
+    flat = np.concatenate([short[i] for i in order]).astype(np.int64) if bits.any() else np.zeros(0, dtype=np.int64)
+    where = np.zeros((lanes, len(order) * 256), dtype=np.uint64)
+    np.bitwise_or.at(where.reshape(-1), (place >> 6) * (len(order) * 256) + row * 256 + flat, np.uint64(1) << (place & 63).astype(np.uint64))
+    text = np.zeros((int(steps.max(initial=0)), len(order)), dtype=np.uint8)
+    for k, i in enumerate(order):
+        text[: len(long[i]), k] = long[i]
+    left = np.searchsorted(-steps[order], -np.arange(1, len(text) + 1), side="right")
+    v = np.full((lanes, len(order)), np.uint64(2**64 - 1))
+    base = np.arange(len(order)) * 256
+    with np.errstate(over="ignore"):
+        for i, active in enumerate(left):
+            at = base[:active] + text[i, :active]
+            carry = None
+            for lane in range(lanes):
+                m, old = where[lane][at], v[lane, :active]
+                total = old + (old & m)
+                over = total < old
+                if carry is not None:
+                    total = total + carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                v[lane, :active] = total | (old & ~m)
+    zeros = np.zeros(len(order), dtype=np.int64)
+    for lane in range(lanes):
+        held = np.clip(bits[order] - 64 * lane, 0, 64)
+        mask = np.where(held == 64, np.uint64(2**64 - 1), (np.uint64(1) << (held % 64).astype(np.uint64)) - np.uint64(1))
+        zeros += np.bitwise_count(~v[lane] & mask)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = zeros
+    return out
+
+
+class _Side:
+    """The codes of one side of a tile, by number."""
+
+    def __init__(self) -> None:
+        self.numbers: list[np.ndarray] = []
+        self.codes: list[bytes] = []
+        self.ready = False
 
-    return texts.mapInArrow(run, "n long, in_eval boolean, in_train boolean, words int, code binary, sketch array<long>, bands array<int>")
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.numbers.append(rows.column(2).to_numpy())
+        self.codes += rows.column(4).to_pylist()
+
+    def close(self) -> None:
+        if not self.ready:
+            numbers = np.concatenate(self.numbers) if self.numbers else np.zeros(0, dtype=np.int64)
+            order = np.argsort(numbers)
+            self.sorted, self.arrays = numbers[order], [np.frombuffer(self.codes[i], np.uint8) for i in order]
+            self.size = np.array([len(x) for x in self.arrays], dtype=np.int64)
+            flat = np.repeat(np.arange(len(order)) * 256, self.size) + (np.concatenate(self.arrays) if self.arrays else np.zeros(0, dtype=np.int64))
+            self.bags = np.minimum(np.bincount(flat, minlength=256 * len(order)), 65535).astype(np.uint16).reshape(-1, 256)
+            self.codes, self.ready = [], True
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.sorted, numbers)
+
+
+#: Pairs of a tile that are looked at together, repeats once, and those whose subsequences are computed side by side.
+AT_ONCE, ABREAST = 1 << 20, 2048
+
+
+def in_order(matches: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """The matches whose codes agree: no fewer than those whose words do, without moving the texts.
+
+    Both sides are dealt to a grid of tiles by number, so a tile holds a bounded part of each
+    side once, whatever pairs there are, and a frequent text's pairs spread over many tiles.
+    A text as long as 65,535 uses of one word is compared without the bag bound.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {r["evaluation"]: r["n"] for r in keys.groupBy("evaluation").agg(F.count("*").alias("n")).collect()}
+    train, evaluation = max(1, sizes.get(False, 0)), max(1, sizes.get(True, 0))
+    down = max(-(-evaluation // TILE), min(parts, round((parts * evaluation / train) ** 0.5)), 1)
+    across = max(-(-train // TILE), -(-parts // down), 1)
+
+    def tile(of_train: Column, of_eval: Column) -> Column:
+        return (of_train * down + of_eval).cast("int")
+
+    def of(n: str, parts_: int) -> Column:
+        return F.pmod(F.col(n), F.lit(parts_))
+
+    none = F.lit(None)
+    dealt = keys.where("not evaluation").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda k: tile(of("n", across), k))).alias("tile"), F.lit(0).alias("kind"), "n", none.cast("long").alias("m"), "code")
+    dealt = dealt.unionByName(keys.where("evaluation").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda k: tile(k, of("n", down)))).alias("tile"), F.lit(1).alias("kind"), "n", none.cast("long").alias("m"), "code"))
+    dealt = dealt.unionByName(matches.select(tile(of("train_n", across), of("eval_n", down)).alias("tile"), F.lit(2).alias("kind"), F.col("train_n").alias("n"), F.col("eval_n").alias("m"), none.cast("binary").alias("code")))
+
+    def agreeing(one: _Side, other: _Side, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        i, j = one.find(n), other.find(m)
+        need = np.maximum(one.size[i], other.size[j]) * least - 1e-9
+        shared = np.concatenate([np.minimum(one.bags[i[k : k + ABREAST]], other.bags[j[k : k + ABREAST]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), ABREAST)])
+        open_ = np.flatnonzero((shared >= need) | (need > 65535))
+        open_ = open_[np.argsort(np.minimum(one.size[i[open_]], other.size[j[open_]]), kind="stable")]
+        good, k = [open_[:0]], 0
+        while k < len(open_):
+            widest = int(np.maximum(one.size[i[open_[k : k + ABREAST]]], other.size[j[open_[k : k + ABREAST]]]).max())
+            some = open_[k : k + max(1, min(ABREAST, ABREAST * 512 // max(widest, 1)))]
+            k += len(some)
+            good.append(some[subsequences([one.arrays[x] for x in i[some]], [other.arrays[x] for x in j[some]]) >= need[some]])
+        return np.concatenate(good)
+
+    def checked(sides: tuple[_Side, _Side], held: list[np.ndarray]) -> pa.RecordBatch:
+        for side in sides:
+            side.close()
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+        n, m = pairs[:, 0], pairs[:, 1]
+        good = agreeing(*sides, n, m)
+        return pa.RecordBatch.from_arrays([pa.array(n[good]), pa.array(m[good])], names=["train_n", "eval_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides, held = None, (_Side(), _Side()), []
+        for batch in batches:
+            tiles, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1), len(tiles)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if tiles[lo] != at:
+                    if held:
+                        yield checked(sides, held)
+                    at, sides, held = tiles[lo], (_Side(), _Side()), []
+                part = batch.slice(lo, hi - lo)
+                if kinds[lo] < 2:
+                    sides[kinds[lo]].add(part)
+                else:
+                    held.append(np.stack([part.column(2).to_numpy(), part.column(3).to_numpy()], axis=1))
+                    if sum(map(len, held)) >= AT_ONCE:
+                        yield checked(sides, held)
+                        held = []
+        if held:
+            yield checked(sides, held)
+
+    return dealt.repartitionById(across * down, F.col("tile")).sortWithinPartitions("tile", "kind").mapInArrow(run, "train_n long, eval_n long").distinct()
 
 
 def common_words(a: Sequence, b: Sequence) -> int:
@@ -201,44 +453,34 @@ def _same_words(a: list[str], b: list[str]) -> float:
     return (Counter(a) & Counter(b)).total() / max(len(a), len(b), 1)
 
 
-def in_order(candidates: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """The candidates whose codes agree: no fewer than those whose words do, without moving the texts."""
-    both = candidates.join(codes.select(F.col("n").alias("train_n"), F.col("code").alias("train_code")), "train_n").join(codes.select(F.col("n").alias("eval_n"), F.col("code").alias("eval_code")), "eval_n")
+def _named(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`texts(id, text)` of the wanted ids; a screen lets few others through to the join."""
+    keyed = wanted.withColumn("key", F.xxhash64("id"))
+    bits = screen(keyed, "key", bits_for(wanted.count()))
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = lru_cache(4096)(lambda code: np.bincount(np.frombuffer(code, np.uint8), minlength=256))
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if np.minimum(bag(a), bag(b)).sum() >= (least - 1e-9) * max(len(a), len(b)) and agreement(a, b) >= least - 1e-9:
-                    keep.append(i)
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["train_n", "eval_n"])
+            few = batch.filter(pa.array(passes(shared.value, batch.column(2).to_numpy())))
+            if few.num_rows:
+                yield few.select([0, 1])
 
-    return both.select("train_n", "eval_n", "train_code", "eval_code").mapInArrow(run, "train_n long, eval_n long")
+    return texts.withColumn("key", F.xxhash64("id")).mapInArrow(run, "id string, text string").join(wanted, "id")
 
 
-def overlapping_classes(records: DataFrame, described: DataFrame, least: float = MIN_AGREEMENT) -> DataFrame:
+def overlapping_classes(records: DataFrame, described: DataFrame, weights: np.ndarray, least: float = MIN_AGREEMENT) -> DataFrame:
     """`(train_cls, eval_cls, agreement, jaccard)` of confirmed pairs, identical texts included.
 
-    `described` is the stored result of `features`. Each class is represented by its
-    smallest id and numbered, so that the join on bands carries numbers only.
+    `described` and `weights` come from `features`. Each class is represented by its smallest id.
     """
-    classes = described.groupBy("cls").agg(F.min("id").alias("id"), F.max("evaluation").alias("in_eval"), (~F.min("evaluation")).alias("in_train"))
-    classes = cut(classes.withColumn("n", F.monotonically_increasing_id()))
+    classes = cut(described.groupBy("cls", "n").agg(F.min("id").alias("id"), F.max("evaluation").alias("in_eval"), (~F.min("evaluation")).alias("in_train")))
     same = classes.where("in_eval and in_train").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("agreement"), F.lit(1.0).alias("jaccard"))
-    texts = _reduced(records).select("id", F.col("generation").alias("text"))
-    keys = cut(banded(texts.join(classes.select("id", "n", "in_eval", "in_train"), "id").dropDuplicates(["id"]).select("n", "in_eval", "in_train", "text")))
-    sketches = range(SKETCH // 32)
-    train, evaluation = (keys.where(f"in_{x}").select(F.col("n").alias(f"{x}_n"), F.col("words").alias(f"{x}_words"), *(F.col("sketch")[k].alias(f"{x}_{k}") for k in sketches), F.explode("bands").alias("band")) for x in ("train", "eval"))
-    long_enough = F.least("train_words", "eval_words") >= F.ceil(F.greatest("train_words", "eval_words") * F.lit(least) - 1e-9)
-    differ = [F.col(f"train_{k}").bitwiseXOR(F.col(f"eval_{k}")) for k in sketches]
-    unlike = sum(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in differ)
-    candidates = cut(train.join(evaluation, "band").where(long_enough & (F.col("train_n") != F.col("eval_n")) & (unlike <= SKETCH - least_alike(least))).select("train_n", "eval_n").distinct())
-    candidates = cut(in_order(candidates, keys.select("n", "code"), least))
+    keys = cut(banded(records, weights))
+    candidates = cut(in_order(band_matches(keys, least), keys.select("n", "evaluation", "code"), least))
     named = candidates.select(F.col("train_n").alias("n")).unionByName(candidates.select(F.col("eval_n").alias("n"))).distinct()
-    wanted = classes.join(named, "n", "left_semi").select("id", "n", "cls")
-    found = cut(texts.join(wanted, "id").groupBy("n").agg(F.min("cls").alias("cls"), F.min("text").alias("text")))
+    wanted = cut(classes.join(named, "n", "left_semi").select("id", "n", "cls"))
+    texts = _reduced(records).select("id", F.col("generation").alias("text"))
+    found = cut(_named(texts, wanted).groupBy("n", "cls").agg(F.min("text").alias("text")))
     paired = candidates.join(found.withColumnsRenamed({"n": "eval_n", "text": "eval_text", "cls": "eval_cls"}), "eval_n").join(found.withColumnsRenamed({"n": "train_n", "text": "train_text", "cls": "train_cls"}), "train_n").select("train_cls", "eval_cls", "train_text", "eval_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +508,8 @@ def overlapping_records(records: DataFrame, least: float = MIN_AGREEMENT) -> Dat
 
     Null, empty and short texts are in no pair; a repeated delivery counts once.
     """
-    described = cut(features(records))
-    pairs = cut(overlapping_classes(records, described, least))
+    described, weights = features(records)
+    pairs = cut(overlapping_classes(records, described, weights, least))
     members = described.select("id", "cls", "evaluation").distinct()
     train = members.where("not evaluation").select(F.col("cls").alias("train_cls"), F.col("id").alias("train_id"))
     evaluation = members.where("evaluation").select(F.col("cls").alias("eval_cls"), F.col("id").alias("eval_id"))
@@ -276,8 +518,8 @@ def overlapping_records(records: DataFrame, least: float = MIN_AGREEMENT) -> Dat
 
 def overlap_classes(records: DataFrame, least: float = MIN_AGREEMENT) -> DataFrame:
     """One row per evaluation record in an overlap: `(id, split_name, source_id, cls, linked_classes, linked_records)`."""
-    described = cut(features(records))
-    pairs = cut(overlapping_classes(records, described, least))
+    described, weights = features(records)
+    pairs = cut(overlapping_classes(records, described, weights, least))
     sizes = described.where("not evaluation").groupBy("cls").agg(F.countDistinct("id").alias("n")).withColumnRenamed("cls", "train_cls")
     linked = pairs.join(sizes, "train_cls").groupBy("eval_cls").agg(F.count("*").alias("linked_classes"), F.sum("n").alias("linked_records")).withColumnRenamed("eval_cls", "cls")
     once = described.where("evaluation").groupBy("id").agg(F.min("split_name").alias("split_name"), F.min("source_id").alias("source_id"), F.min("cls").alias("cls"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexidrift.llm import defects as D
-from lexidrift.llm import encoding, language, leakage, mixing, overlap, pairs, repetition, sampling, sentences, splits, truncation
+from lexidrift.llm import encoding, language, leakage, mixing, overlap, pairs, repetition, sampling, screen, sentences, splits, truncation
 
 LONG = "The {} keeper counted {} lamps beside the {} harbour while nobody watched the {} road at dawn. "
 
@@ -193,8 +193,10 @@ def test_scattered_changes_are_candidates(share, alphabet):
         assert overlap.agreement(a, b) >= share - 1e-9
         texts += [a, b]
     hashes = np.array([overlap._WORDS[w] for t in texts for w in t], dtype=np.uint64)
-    bands, sketch = overlap.signatures(np.array([len(t) for t in texts]), hashes)
-    alike = [sum(((int(x) ^ int(y)) >> 2 * i) & 3 == 0 for x, y in zip(sketch[2 * t], sketch[2 * t + 1], strict=True) for i in range(32)) >= overlap.least_alike(0.7) for t in range(n)]
+    counts = np.array([len(t) for t in texts])
+    held = np.bincount([int(overlap._WORDS[w]) % overlap.COUNTERS for t in texts for w in set(t)], minlength=overlap.COUNTERS)
+    bands, marks = overlap.signatures(counts, hashes, overlap.word_weights(held, len(texts)))
+    alike = overlap.unlike(marks[::2], marks[1::2]) <= overlap.most_unlike(0.7)
     met = sum(bool((bands[2 * t] == bands[2 * t + 1]).any()) and alike[t] for t in range(n)) / n
     print("recall", alphabet, share, met)
     assert met >= (0.96 if share == 0.70 else 0.98)
@@ -224,6 +226,24 @@ def test_common_words_equal_table():
         assert overlap.common_words(a, b) == t[-1, -1]
 
 
+def test_subsequences_side_by_side():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 6, n, dtype=np.uint8) for n in (0, 1, 3, 63, 64, 65, 127, 128, 129, 200, 400)]
+    pairs = [(a, b) for a in texts for b in texts]
+    got = overlap.subsequences([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [overlap.common_words(a.tolist(), b.tolist()) for a, b in pairs]
+    huge = [rng.integers(0, 250, 3000, dtype=np.uint8)] * 2
+    assert overlap.subsequences([huge[0]], [huge[1]]).tolist() == [3000]
+
+
+def test_screen_lets_every_key_through(spark):
+    keys = spark.range(0, 5000).select((F.xxhash64("id")).alias("k"))
+    bits = screen.screen(keys, "k", screen.bits_for(5000))
+    mine = np.array([r.k for r in keys.collect()])
+    assert screen.passes(bits, mine).all() and screen.passes(bits, np.arange(1, 20000)).mean() < 0.02
+    assert not screen.passes(screen.screen(keys.where("false"), "k", 1 << 20), mine).any()
+
+
 # ---- 5
 
 
