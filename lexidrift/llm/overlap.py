@@ -117,13 +117,6 @@ def unlike(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count((marks[:, 0] ^ others[:, 0]) & np.uint64((1 << _LOW) - 1)).astype(int) + np.bitwise_count(marks[:, 1] ^ others[:, 1])
 
 
-@lru_cache(1)
-def _draws() -> tuple[np.ndarray, np.ndarray]:
-    """Factors of the minima, and the minima that each band is made of."""
-    rng = np.random.default_rng(20240301)
-    return _factors(SKETCH, 20240229), np.array([rng.choice(SKETCH, ROWS, replace=False) for _ in range(BANDS)])
-
-
 def word_weights(documents: np.ndarray, total: int) -> np.ndarray:
     """Weight of each bucket of words: one, and one more for each halving of the share of texts that hold it.
 
@@ -139,19 +132,18 @@ def signatures(counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tu
     divided by their word's weight, so two texts share it in proportion to the weight of
     what they share.
     """
-    factors, chosen = _draws()
     with np.errstate(over="ignore"):
         starts = np.cumsum(counts) - counts
         single = _numbered(counts, words)
         scale = 1.0 / weights[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
         minima = np.empty((SKETCH, len(counts)), dtype=np.uint64)
-        for k, f in enumerate(factors):
+        for k, f in enumerate(_factors(SKETCH, 20240229)):
             minima[k] = np.minimum.reduceat((_mixed(single * f) >> np.uint64(11)).astype(np.float64) * scale, starts).view(np.uint64)
         minima = _mixed(minima)
         bands = np.empty((len(counts), BANDS), dtype=np.uint32)
-        for b, members in enumerate(chosen):
+        for b in range(BANDS):  # no minimum is in two bands
             key = np.uint64(b + 1)
-            for k in members:
+            for k in range(b * ROWS, (b + 1) * ROWS):
                 key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + minima[k])
             bands[:, b] = key >> np.uint64(32)
         marks = np.zeros((len(counts), 2), dtype=np.uint64)
