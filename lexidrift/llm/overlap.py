@@ -24,16 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexidrift.llm.repetition import letter_table
 from lexidrift.llm.screen import bits_for, passes, screen
 from lexidrift.plans.lineage import cut
 
 #: Words of a shingle of the reported similarity.
 SHINGLE = 5
 #: Bands, and minima of a band. Agreement a means a similarity of the bags of words of a / (2 - a): at 0.70 a band
-#: is shared with probability 0.15, so that of 32 bands at least one is in 99 of 100 pairs.
-BANDS, ROWS = 32, 3
+#: is shared with probability 0.15, so that of 28 bands at least one is in 99 of 100 pairs.
+BANDS, ROWS = 28, 3
 #: Minima of the signature, each with one bit in the sketch, and standard deviations by which a true pair's sketch may fall short.
-SKETCH, SLACK = 117, 2.5
+SKETCH, SLACK = 117, 2.2
 #: Steps of a factor e in which a text's length stands beside its sketch.
 STEPS = 50
 #: Buckets of word hashes in which the corpus counts documents, so a table of fixed size holds the weights.
@@ -49,9 +50,10 @@ MIN_AGREEMENT = 0.70
 _LOOKALIKES = ("аеорсухіјѕԁһӏԛԝкмтвнгпиԍьАВЕКМНОРСТУХІЈЅԌ" "αεορυχικντηρβγωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ıȷɡɑʟ", "aeopcyxijsdhlqwkmtbhrnngbABEKMHOPCTYXIJSG" "aeopuxikvtnpbywABEZHIKMNOPTYX" "ijgal")
 _SAME = {ord(a): b.lower() for a, b in zip(*_LOOKALIKES, strict=True)}
 _DROP = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD, 0x34F, 0x27, 0x2019, 0x2018, 0x2BC, 0x60, 0xB4])
-_FOLD = _DROP | _SAME
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|(?:[^\W_぀-ヿ㐀-鿿฀-๿]|[̀-ًͯ-ٟऀ-෿])+")
 _ASCII_WORD = re.compile("[a-z0-9]+")
+_DROPPED = re.compile("[" + "".join(map(re.escape, map(chr, _DROP))) + "]+")
+_ALIKE = re.compile("[" + "".join(map(re.escape, map(chr, _SAME))) + "]")
 
 
 def comparable_words(text: str) -> list[str]:
@@ -61,8 +63,11 @@ def comparable_words(text: str) -> list[str]:
     """
     if text.isascii():
         return _ASCII_WORD.findall(text.lower().replace("'", "").replace("`", ""))
-    folded = unicodedata.normalize("NFKC", text.translate(_DROP)).casefold().translate(_FOLD)
-    return _TOKEN.findall(folded)
+    folded = _DROPPED.sub("", text)
+    if not unicodedata.is_normalized("NFKC", folded):
+        folded = _DROPPED.sub("", unicodedata.normalize("NFKC", folded))
+    folded = folded.casefold()
+    return _TOKEN.findall(folded.translate(_SAME) if _ALIKE.search(folded) else folded)
 
 
 class _Hashes(dict):
@@ -170,15 +175,22 @@ def _reduced(records: DataFrame) -> DataFrame:
     return records.where(F.col("id").isNotNull() & split.isin("train", "validation", "test") & (F.length("generation") >= MIN_LETTERS)).select("id", split.alias("split_name"), "source_id", "generation")
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """Letters and digits of each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([0, *map(len, texts)])
+    counted = np.concatenate([[0], np.cumsum(letter_table()[points] != 0)])
+    return counted[ends[1:]] - counted[ends[:-1]]
+
+
 def _stream(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Of the texts with enough letters their places, numbers of words, and hashes of all words."""
-    keep, counts, stream = [], [], []
-    for i, text in enumerate(texts):
-        if sum(map(str.isalnum, text)) >= MIN_LETTERS:
-            words = comparable_words(text) or [""]
-            keep.append(i)
-            counts.append(len(words))
-            stream.extend(words)
+    counts, stream = [], []
+    keep = [int(i) for i in np.flatnonzero(_letters(texts) >= MIN_LETTERS)]
+    for i in keep:
+        words = comparable_words(texts[i]) or [""]
+        counts.append(len(words))
+        stream.extend(words)
     return keep, np.array(counts, dtype=np.int64), np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
 
 
@@ -265,45 +277,54 @@ def band_matches(keys: DataFrame, least: float) -> DataFrame:
 MOST_LANES = 32
 
 
-def subsequences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Lengths of the longest common subsequences of pairs of byte strings, all pairs side by side, by bit vectors."""
+def subsequences(a: list[np.ndarray], b: list[np.ndarray], need: np.ndarray | None = None) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of byte strings, all pairs side by side, by bit vectors.
+
+    With `need`, a pair that can no longer reach its length is given up, with a length below it.
+    """
     if max(map(len, [*a, *b])) > 64 * MOST_LANES:
         return np.array([common_words(x.tobytes(), y.tobytes()) for x, y in zip(a, b, strict=True)])
     short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
     bits, steps = np.array([len(x) for x in short]), np.array([len(x) for x in long])
-    order = np.argsort(-steps, kind="stable")
-    lanes = max(1, (int(bits.max()) + 63) // 64)
-    place = np.concatenate([np.arange(len(short[i])) for i in order]) if bits.any() else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(order)), bits[order])
-    flat = np.concatenate([short[i] for i in order]).astype(np.int64) if bits.any() else np.zeros(0, dtype=np.int64)
-    where = np.zeros((lanes, len(order) * 256), dtype=np.uint64)
-    np.bitwise_or.at(where.reshape(-1), (place >> 6) * (len(order) * 256) + row * 256 + flat, np.uint64(1) << (place & 63).astype(np.uint64))
-    text = np.zeros((int(steps.max(initial=0)), len(order)), dtype=np.uint8)
-    for k, i in enumerate(order):
+    least = np.zeros(len(bits)) if need is None else need
+    rows, lanes = np.argsort(-steps, kind="stable"), max(1, (int(bits.max()) + 63) // 64)
+    place = np.concatenate([np.arange(n) for n in bits[rows]])
+    flat = np.repeat(np.arange(len(rows)) * 256, bits[rows]) + np.concatenate([short[i] for i in rows])
+    where = np.zeros((lanes, len(rows) * 256), dtype=np.uint64)
+    np.bitwise_or.at(where.reshape(-1), (place >> 6) * (len(rows) * 256) + flat, np.uint64(1) << (place & 63).astype(np.uint64))
+    text = np.zeros((int(steps.max(initial=0)), len(rows)), dtype=np.uint8)
+    for k, i in enumerate(rows):
         text[: len(long[i]), k] = long[i]
-    left = np.searchsorted(-steps[order], -np.arange(1, len(text) + 1), side="right")
-    v = np.full((lanes, len(order)), np.uint64(2**64 - 1))
-    base = np.arange(len(order)) * 256
+    v = np.full((lanes, len(rows)), np.uint64(2**64 - 1))
+    held = np.clip(bits[rows][None, :] - 64 * np.arange(lanes)[:, None], 0, 64)
+    mask = np.where(held == 64, np.uint64(2**64 - 1), (np.uint64(1) << (held % 64).astype(np.uint64)) - np.uint64(1))
+    base = np.arange(len(rows)) * 256
+    out = np.zeros(len(rows), dtype=np.int64)
     with np.errstate(over="ignore"):
-        for i, active in enumerate(left):
+        for i in range(len(text)):
+            if i % 16 == 0:
+                done = np.bitwise_count(~v & mask).sum(axis=0, dtype=np.int64)
+                out[rows] = done
+                open_ = np.flatnonzero(done + np.minimum(steps[rows] - i, bits[rows] - done) >= least[rows])
+                if len(open_) < 0.8 * len(rows):
+                    rows, v, mask, base, text = rows[open_], v[:, open_], mask[:, open_], base[open_], text[:, open_]
+                if not len(rows):
+                    break
+            active = int(np.searchsorted(-steps[rows], -i, side="left"))
             at = base[:active] + text[i, :active]
             carry = None
             for lane in range(lanes):
-                m, old = where[lane][at], v[lane, :active]
+                m, old = where[lane].take(at), v[lane, :active]
                 total = old + (old & m)
-                over = total < old
-                if carry is not None:
-                    total = total + carry
-                    over |= total < carry
-                carry = over.astype(np.uint64)
+                if lanes > 1:
+                    over = total < old
+                    if carry is not None:
+                        total = total + carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
                 v[lane, :active] = total | (old & ~m)
-    zeros = np.zeros(len(order), dtype=np.int64)
-    for lane in range(lanes):
-        held = np.clip(bits[order] - 64 * lane, 0, 64)
-        mask = np.where(held == 64, np.uint64(2**64 - 1), (np.uint64(1) << (held % 64).astype(np.uint64)) - np.uint64(1))
-        zeros += np.bitwise_count(~v[lane] & mask)
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = zeros
+    if len(rows):
+        out[rows] = np.bitwise_count(~v & mask).sum(axis=0, dtype=np.int64)
     return out
 
 
@@ -334,7 +355,7 @@ class _Side:
 
 
 #: Pairs of a tile that are looked at together, repeats once, and those whose subsequences are computed side by side.
-AT_ONCE, ABREAST = 1 << 20, 2048
+AT_ONCE, ABREAST = 1 << 20, 1024
 
 
 def in_order(matches: DataFrame, keys: DataFrame, least: float) -> DataFrame:
@@ -344,7 +365,7 @@ def in_order(matches: DataFrame, keys: DataFrame, least: float) -> DataFrame:
     side once, whatever pairs there are, and a frequent text's pairs spread over many tiles.
     A text as long as 65,535 uses of one word is compared without the bag bound.
     """
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     sizes = {r["evaluation"]: r["n"] for r in keys.groupBy("evaluation").agg(F.count("*").alias("n")).collect()}
     train, evaluation = max(1, sizes.get(False, 0)), max(1, sizes.get(True, 0))
     down = max(-(-evaluation // TILE), min(parts, round((parts * evaluation / train) ** 0.5)), 1)
@@ -372,7 +393,7 @@ def in_order(matches: DataFrame, keys: DataFrame, least: float) -> DataFrame:
             widest = int(np.maximum(one.size[i[open_[k : k + ABREAST]]], other.size[j[open_[k : k + ABREAST]]]).max())
             some = open_[k : k + max(1, min(ABREAST, ABREAST * 512 // max(widest, 1)))]
             k += len(some)
-            good.append(some[subsequences([one.arrays[x] for x in i[some]], [other.arrays[x] for x in j[some]]) >= need[some]])
+            good.append(some[subsequences([one.arrays[x] for x in i[some]], [other.arrays[x] for x in j[some]], need[some]) >= need[some]])
         return np.concatenate(good)
 
     def checked(sides: tuple[_Side, _Side], held: list[np.ndarray]) -> pa.RecordBatch:
