@@ -1,17 +1,18 @@
 """Problem 8: passages of evaluation items inside a training corpus.
 
-Runs of five words are the seeds. Documents are screened against a Bloom filter of the
-items' seeds (fixed size, whatever the items), hits are joined with the items exactly,
-and a document and an item whose hits gather near one diagonal are aligned by
-Smith-Waterman over words. A seed that few documents hold makes a weaker gathering
-enough; without one, as many hits are asked for as any true passage must have.
+A passage of thirty words of which one in ten is replaced keeps a run of seven words, as
+does every longer one, so all runs of seven words of an item are its seeds, whatever their
+frequency. Documents pass a screen built from the items' seeds (of bounded size, whatever
+the items); around each hit a passage is cut out, and hits are joined with the items
+exactly. Passage and item are then aligned by Smith-Waterman over words, many pairs side by
+side; where the score is that of a sound passage, the stretch is measured.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexidrift.llm.overlap import shingle_hashes
+from lexidrift.llm.screen import bits_for, passes, screen
 from lexidrift.plans.lineage import cut
 
-SEED = 5
 #: Words of an item that must be found, and the share of them that may differ.
 MIN_WORDS, MAX_DIFFERENT = 30, 0.10
-#: Bits of the Bloom filter, so 2 MB are broadcast.
-BLOOM_BITS = 1 << 24
-#: Hits may drift by so many words (labels in between) and still count as one gathering.
-DRIFT = 16
-#: A seed is rare when at most this share of the documents holds it (or RARE_LEAST of them).
-RARE_SHARE, RARE_LEAST = 0.0005, 5
-#: A passage of n words with m replaced has n - SEED * m - SEED + 1 clean seeds: 11 for 30 and 3.
-HITS_RARE, HITS = 5, MIN_WORDS - SEED * int(MIN_WORDS * MAX_DIFFERENT) - SEED + 1
-
-# Labels that may stand between passages.
-_LABEL = re.compile(r"(?:(?<=\s)|(?<=>)|^)(?:Q|A|Question|Answer|Quote|Source|Text|Passage|Frage|Antwort|Réponse|Pregunta|Respuesta|Zitat|Citation|Cita)\s?\d{0,3}\s?[:)](?=\s)", re.M)
+#: The longest run that every such passage keeps: of n words with m replaced one of m + 1 runs has (n - m) / (m + 1) of them.
+SEED = min(-(-(n - int(n * MAX_DIFFERENT)) // (int(n * MAX_DIFFERENT) + 1)) for n in range(MIN_WORDS, 40 * MIN_WORDS))
+#: The least score of such a passage: one for each equal word, two off for each other.
+MIN_SCORE = MIN_WORDS - 3 * int(MIN_WORDS * MAX_DIFFERENT)
+#: A longer passage halves into ones that qualify, so this many words on either side of a hit decide.
+AROUND = 2 * MIN_WORDS
+#: Texts are aligned in pieces of so many words, which overlap by twice that reach.
+PIECE = 512
+#: Bits of a seed's hash that are looked up in the screen, each in a part of its own.
+LOOKS = 3
+#: Cells of the score tables that are filled side by side.
+CELLS = 4_000_000
+
+# Labels that may stand between passages; at the start of a line any single word before a colon is one.
+_LABEL = re.compile(r"^[ \t>|*•\"“„«'-]*[^\W\d_]{1,12}\s?\d{0,3}\s?:(?=\s)|(?:(?<=\s)|(?<=>)|^)(?:Q|A|Question|Answer|Quote|Source|Text|Passage|Frage|Antwort|Réponse|Pregunta|Respuesta|Zitat|Citation|Cita)\s?\d{0,3}\s?[:)](?=\s)", re.M)
 _JOINED = re.compile(r"(?<=[^\W_])['’‘`´](?=[^\W_])|(?<=[^\W\d_])[-‐‑](?=[^\W\d_])|(?<=\d)[.,](?=\d)")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|(?:[^\W_぀-ヿ㐀-鿿฀-๿]|[̀-ͯऀ-෿])+")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
@@ -48,131 +53,231 @@ def passage_words(text: str) -> list[str]:
     return _TOKEN.findall(_JOINED.sub("", _LABEL.sub(" ", text)).lower())
 
 
-def _seeds(words: list[str]) -> np.ndarray:
-    return shingle_hashes(np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64), SEED)
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        if len(self) > 1_000_000:
+            self.clear()
+        return h
+
+
+_WORDS = _Hashes()
+
+
+def _seeds(words: Sequence[str]) -> np.ndarray:
+    return shingle_hashes(np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words)), SEED).view(np.int64)
 
 
-def seed_table(texts: DataFrame, key: str, text: str, bloom: np.ndarray | None = None) -> DataFrame:
-    """`(key, seed, pos)`: the seeds of every text; with `bloom` only those that may be in it."""
-    kept = texts.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    shared = texts.sparkSession.sparkContext.broadcast(bloom) if bloom is not None else None
+def _pieces(size: int) -> list[tuple[int, int]]:
+    """Where the pieces of a text of `size` words begin and end; neighbours share twice the reach of a hit."""
+    step = PIECE - 2 * (AROUND + SEED)
+    return [(lo, min(size, lo + PIECE)) for lo in range(0, max(1, size - (PIECE - step)), step)]
+
+
+def item_pieces(items: DataFrame) -> DataFrame:
+    """`(item_id, item_part, item_words, seed)`: a row for each different seed of each piece of each item."""
+    kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value if shared is not None else None
-        cache: dict[str, int] = {}
         for batch in batches:
-            rows, stream, counts = [], [], []
+            rows, parts, texts, seeds = [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = passage_words(t)
-                if len(words) >= SEED:
-                    rows.append(i)
-                    counts.append(len(words))
-                    stream.extend(words)
-            if not rows:
-                continue
-            for w in set(stream):
-                if w not in cache:
-                    cache[w] = xxhash.xxh3_64_intdigest(w)
-            hashed = shingle_hashes(np.fromiter(map(cache.__getitem__, stream), dtype=np.uint64, count=len(stream)), SEED)
-            if len(cache) > 1_000_000:
-                cache.clear()
-            n = np.array(counts)
-            owner = np.repeat(np.arange(len(rows)), n)
-            pos = np.arange(len(stream)) - np.repeat(np.cumsum(n) - n, n)
-            keep = pos[: len(hashed)] + SEED <= n[owner[: len(hashed)]]
-            if bits is not None:
-                at = (hashed % np.uint64(BLOOM_BITS)).astype(np.int64)
-                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(keep)
-            taken = batch.column(0).take(pa.array(np.array(rows)[owner[at]], pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken, pa.array(hashed[at].view(np.int64)), pa.array(pos[at].astype(np.int32))], names=[key, "seed", "pos"])
-
-    kind = kept.schema[key].dataType.simpleString()
-    return kept.mapInArrow(run, f"`{key}` {kind}, seed long, pos int")
-
-
-def seed_bloom(items: DataFrame) -> np.ndarray:
-    """The bit array of the items' seeds; at most BLOOM_BITS positions reach the driver."""
-    at = items.select(F.pmod(F.col("seed"), F.lit(BLOOM_BITS)).alias("bit")).distinct()
-    bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for row in at.toLocalIterator():
-        bits[row.bit >> 3] |= 1 << (row.bit & 7)
-    return bits
+                for k, (lo, hi) in enumerate(_pieces(len(words))):
+                    own = np.unique(_seeds(words[lo:hi]))
+                    rows += [i] * len(own)
+                    parts += [k] * len(own)
+                    texts += [" ".join(words[lo:hi])] * len(own)
+                    seeds.append(own)
+            flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), pa.array(flat)], names=["item_id", "item_part", "item_words", "seed"])
 
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, item_part int, item_words string, seed long")
 
-def longest_passage(doc: list[str], item: list[str]) -> int:
-    """Words of the longest stretch of `item` found in `doc` with at most one word in ten different.
 
-    A local alignment (match 1, else -2, gap -2) gives the columns; the stretch is the
-    longest run of item words along it in which differing, missing and extra words stay
-    within the share.
+def _looks(seeds: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Where a seed is looked up: one place in each of as many equal parts of the screen."""
+    return [((seeds.view(np.uint64) >> np.uint64(20 * k)) % np.uint64(bits // 4) + np.uint64(k * (bits // 4))).view(np.int64) for k in range(LOOKS)]
+
+
+def seed_screen(seeds: DataFrame) -> np.ndarray:
+    """The screen of the items' seeds, with `LOOKS` bits each."""
+    bits = bits_for(4 * seeds.count())
+    quarter = bits // 4
+    unsigned = [F.pmod(F.shiftrightunsigned("seed", 20 * k), F.lit(quarter)) + k * quarter for k in range(LOOKS)]
+    return screen(seeds.select(F.explode(F.array(*unsigned)).alias("at")), "at", bits)
+
+
+def passages(documents: DataFrame, bits: np.ndarray) -> DataFrame:
+    """`(doc_id, part, words, seeds)`: what stands around the hits of each document, with the seeds that hit.
+
+    Passages that touch are one, and long ones are cut into pieces that overlap.
     """
-    n, m = len(doc), len(item)
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in doc])
-    b = np.array([ids.setdefault(w, len(ids)) for w in item])
-    score = np.zeros((n + 1, m + 1), dtype=np.int32)
-    slope = 2 * np.arange(m + 1, dtype=np.int32)
+    kept = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(shared.value) * 8
+        for batch in batches:
+            rows, parts, texts, held = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                words = passage_words(t)
+                if len(words) < MIN_WORDS:
+                    continue
+                seeds = _seeds(words)
+                hit = np.ones(len(seeds), dtype=bool)
+                for at in _looks(seeds, size):
+                    hit &= passes(shared.value, at)
+                hits = np.flatnonzero(hit)
+                if not len(hits):
+                    continue
+                breaks = np.flatnonzero(np.diff(hits) > 2 * AROUND + SEED) + 1
+                no = 0
+                for group in np.split(hits, breaks):
+                    begin, end = max(0, group[0] - AROUND), min(len(words), group[-1] + SEED + AROUND)
+                    for lo, hi in _pieces(end - begin):
+                        inside = group[(group >= begin + lo) & (group + SEED <= begin + hi)]
+                        if len(inside):
+                            rows.append(i)
+                            parts.append(no)
+                            texts.append(" ".join(words[begin + lo : begin + hi]))
+                            held.append(np.unique(seeds[inside]))
+                            no += 1
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32)), pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), lists], names=["doc_id", "part", "words", "seeds"])
+
+    return kept.mapInArrow(run, f"doc_id {kind}, part int, words string, seeds array<long>")
+
+
+def scores(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """Smith-Waterman scores (1, else -2, gap -2) of all pairs, `(pair, word of the document, word of the item)` from 0."""
+    n, m = max(map(len, docs)), max(map(len, items))
+    a = np.full((len(docs), n), -1, dtype=np.int32)
+    b = np.full((len(docs), m), -2, dtype=np.int32)
+    for k, (x, y) in enumerate(zip(docs, items, strict=True)):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    out = np.zeros((n + 1, len(docs), m + 1), dtype=np.int16)
+    slope = 2 * np.arange(m + 1, dtype=np.int16)
     for i in range(1, n + 1):
-        row = np.maximum(score[i - 1, :-1] + np.where(b == a[i - 1], 1, -2), score[i - 1, 1:] - 2)
-        score[i, 1:] = np.maximum(row, 0)
-        score[i] = np.maximum.accumulate(score[i] + slope) - slope
+        step = np.where(b == a[:, i - 1 : i], np.int16(1), np.int16(-2))
+        row = out[i]
+        np.maximum(out[i - 1, :, :-1] + step, out[i - 1, :, 1:] - np.int16(2), out=row[:, 1:])
+        np.maximum(row, 0, out=row)
+        np.maximum.accumulate(row + slope, axis=1, out=row)
+        row -= slope
+    return out.transpose(1, 0, 2)
+
+
+def _longest(words: np.ndarray, bad: np.ndarray) -> int:
+    """Item words of the longest run of columns of which the share that may differ differs at most."""
+    w, x = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], np.cumsum(bad)])
+    length, wrong = w[None, :] - w[:, None], x[None, :] - x[:, None]
+    return int(length[(wrong <= length * MAX_DIFFERENT + 1e-9) & (length > 0)].max(initial=0))
+
+
+def _measured(score: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+    """Longest stretch along the alignments of sufficient score, and along the diagonals that hold as many equal words."""
+    if score.max() < MIN_SCORE:
+        return 0
     best = 0
-    used = np.zeros(n + 1, dtype=bool)
-    for _ in range(4):
-        masked = np.where(used[:, None], 0, score)
-        i, j = np.unravel_index(int(masked.argmax()), score.shape)
-        if score[i, j] < 12:
-            break
+    equal = a[:, None] == b[None, :]
+    at, of = np.nonzero(equal)
+    shifts, n = np.unique(at - of, return_counts=True)
+    for shift in shifts[n >= MIN_WORDS - int(MIN_WORDS * MAX_DIFFERENT)]:
+        good = np.diagonal(equal, -int(shift))
+        best = max(best, _longest(np.ones(len(good), dtype=np.int64), ~good))
+    left = score.copy()
+    while (peak := int(left.argmax())) and left.flat[peak] >= MIN_SCORE:
+        i, j = np.unravel_index(peak, left.shape)
         columns = []
-        used[i] = True
-        while i > 0 and j > 0 and score[i, j] > 0:
+        while score[i, j] > 0:
+            seen = left[i, j] < 0
+            left[i, j] = -1
+            if seen:
+                break
             same = a[i - 1] == b[j - 1]
             if score[i, j] == score[i - 1, j - 1] + (1 if same else -2):
-                columns.append((1, 0 if same else 1))
+                columns.append((1, not same))
                 i, j = i - 1, j - 1
             elif score[i, j] == score[i - 1, j] - 2:
-                columns.append((0, 1))
+                columns.append((0, True))
                 i -= 1
             else:
-                columns.append((1, 1))
+                columns.append((1, True))
                 j -= 1
-            used[i] = True
-        words = np.concatenate([[0], np.cumsum([c[0] for c in columns])])
-        bad = np.concatenate([[0], np.cumsum([c[1] for c in columns])])
-        length, wrong = words[None, :] - words[:, None], bad[None, :] - bad[:, None]
-        fits = (wrong <= np.ceil(length * MAX_DIFFERENT)) & (length > 0)
-        best = max(best, int(length[fits].max(initial=0)))
+        if len(columns) >= MIN_WORDS:
+            c = np.array(columns, dtype=np.int64)
+            best = max(best, _longest(c[:, 0], c[:, 1]))
+        # what only decays from the path leads back into it
+        left[max(0, i) :, max(0, j) :] = np.where(_led(score, left, i, j), -1, left[max(0, i) :, max(0, j) :])
     return best
 
 
+def _led(score: np.ndarray, left: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Cells below and to the right of `(i, j)` that lie within the decay of a used cell."""
+    used = left[i:, j:] < 0
+    reach = np.where(used, score[i:, j:], 0).astype(np.int32)
+    down, right = 2 * np.arange(reach.shape[0])[:, None], 2 * np.arange(reach.shape[1])[None, :]
+    reach = np.maximum.accumulate(reach + down, axis=0) - down
+    reach = np.maximum.accumulate(reach + right, axis=1) - right
+    return ~used & (reach >= score[i:, j:]) & (score[i:, j:] > 0)
+
+
+def longest_passages(docs: list[list[str]], items: list[list[str]]) -> list[int]:
+    """For each pair the words of the longest stretch of the item found in the document, at most one in ten different.
+
+    Differing, missing and extra words count against the stretch. Pairs are aligned side by
+    side, as many as their longest allow.
+    """
+    ids: dict[str, int] = {}
+    coded = [[np.array([ids.setdefault(w, len(ids)) for w in t], dtype=np.int32) for t in side] for side in (docs, items)]
+    order = sorted(range(len(docs)), key=lambda k: len(docs[k]) * len(items[k]))
+    out, lo = [0] * len(docs), 0
+    while lo < len(order):
+        hi, n, m = lo, 1, 1
+        while hi < len(order):
+            n, m = max(n, len(docs[order[hi]])), max(m, len(items[order[hi]]))
+            if hi > lo and n * m * (hi - lo + 1) > CELLS:
+                break
+            hi += 1
+        some = order[lo:hi]
+        table = scores([coded[0][k] for k in some], [coded[1][k] for k in some])
+        for score, k in zip(table, some, strict=True):
+            out[k] = _measured(score[: len(docs[k]) + 1, : len(items[k]) + 1], coded[0][k], coded[1][k])
+        lo = hi
+    return out
+
+
+def longest_passage(doc: list[str], item: list[str]) -> int:
+    """The same for one pair."""
+    return longest_passages([doc], [item])[0] if doc and item else 0
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """`(doc_id, item_id, words)`: documents that hold at least `least` consecutive words of an item.
+    """`(doc_id, item_id, words)`: documents that hold at least `least` (30 or more) consecutive words of an item.
 
-    Null, empty and short texts leak nothing; repeated rows of a document count once.
+    Null, empty and short texts leak nothing; repeated rows of a document count once. A
+    document or item longer than `PIECE` words is compared in pieces, so `words` never
+    exceeds that. How often a seed occurs plays no part, so more documents never hide one.
     """
-    items = items.select("item_id", F.col("text").alias("item_text")).where("item_text is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text"))
-    item_seeds = cut(seed_table(items, "item_id", "item_text").withColumnRenamed("pos", "item_pos"))
-    hits = cut(seed_table(documents, "doc_id", "text", seed_bloom(item_seeds)).join(item_seeds.select("seed").distinct(), "seed", "left_semi"))
-    total = documents.select("doc_id").count()
-    spread = hits.select("doc_id", "seed").distinct().groupBy("seed").agg((F.count("*") <= max(RARE_LEAST, RARE_SHARE * total)).alias("rare"))
-    marked = item_seeds.join(spread, "seed").select("seed", "item_id", "item_pos", "rare")
-    met = hits.join(marked, "seed").select("doc_id", "item_id", "seed", "rare", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    # each hit counts in the bucket of its diagonal and in the next, so a drift never splits a gathering
-    bucket = F.floor(F.col("shift") / DRIFT)
-    gathered = met.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).groupBy("doc_id", "item_id", "bucket").agg(F.countDistinct("seed").alias("hits"), F.max("rare").alias("rare"))
-    candidates = gathered.where((F.col("hits") >= HITS) | F.col("rare") & (F.col("hits") >= HITS_RARE)).select("doc_id", "item_id").distinct()
-    texts = documents.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    pairs = candidates.join(texts, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item_text")
+    once = items.where("text is not null and item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    pieces = cut(item_pieces(once))
+    found = cut(passages(documents, seed_screen(pieces)))
+    met = found.select("doc_id", "part", F.explode("seeds").alias("seed")).join(pieces.select("item_id", "item_part", "seed"), "seed").select("doc_id", "part", "item_id", "item_part").distinct()
+    texts = pieces.groupBy("item_id", "item_part").agg(F.first("item_words").alias("item_words"))
+    pairs = met.join(found.select("doc_id", "part", "words"), ["doc_id", "part"]).join(texts, ["item_id", "item_part"]).select("doc_id", "item_id", "words", "item_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [longest_passage(passage_words(t), passage_words(i)) for t, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            keep = [k for k, n in enumerate(found) if n >= least]
+            longest = longest_passages(*([t.split(" ") for t in batch.column(c).to_pylist()] for c in (2, 3)))
+            keep = [k for k, n in enumerate(longest) if n >= least]
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([found[k] for k in keep], pa.int32())], names=["doc_id", "item_id", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([longest[k] for k in keep], pa.int32())], names=["doc_id", "item_id", "words"])
 
-    return pairs.repartition(F.col("doc_id"), F.col("item_id")).mapInArrow(align, "doc_id long, item_id long, words int")
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]
+    aligned = pairs.repartition(F.col("doc_id"), F.col("item_id")).mapInArrow(align, f"doc_id {kinds[0]}, item_id {kinds[1]}, words int")
+    return aligned.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

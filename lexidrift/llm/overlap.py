@@ -88,8 +88,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of `size` words of a stream of word hashes."""
-    n = len(words) - size + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
+    n = max(0, len(words) - size + 1)
+    out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])

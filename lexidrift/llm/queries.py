@@ -19,6 +19,7 @@ def _raid(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["p1_found"] = lambda s, d: splits.related_sources(_raid(s, d, "id", "source_id"))
+    q["p1_families"] = lambda s, d: splits.source_families(_raid(s, d, "id", "source_id"))
     q["p1_split_records"] = lambda s, d: splits.split_records(_raid(s, d, "id", "source_id"))
     q["p1_split_shares"] = lambda s, d: splits.split_shares(_raid(s, d, "id", "source_id", "model", "domain"))
     q["p2_found"] = lambda s, d: repetition.repetitive_ids(_raid(s, d, "id", "generation"))

@@ -18,21 +18,24 @@ from lexidrift.llm.keys import canonical_id
 from lexidrift.plans.lineage import cut
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Largest sum, in records, that one subset-sum bitset covers; larger targets take whole large families first.
-BITSET_SPAN = 1 << 21
-#: Buckets over which families of one size are numbered, so no task has to sort them all.
-RANK_BUCKETS = 64
+#: Records by which the subset sum may depart from the greedy choice on either side; all that can matter up to families of 1,400.
+REACH = 1 << 22
+#: Families of one size that are numbered in one task, on average, at most.
+BUCKET = 50_000
 
 
 def identifier_edges(records: DataFrame) -> DataFrame:
-    """Pairs `(a, b)` of canonical identifiers tied by a record: its id and its source.
+    """Pairs `(a, b)` of canonical identifiers tied by a record: its id and its source, or two sources of one id.
 
-    An id takes part only when some source value denotes it, so the graph has as many
-    nodes as there are sources, not records.
+    An id takes part only when some source value denotes it, or by tying the sources it was
+    delivered under, so the graph has as many nodes as there are sources, not records. A
+    null id ties nothing.
     """
-    pairs = records.select(canonical_id(F.col("id")).alias("a"), canonical_id(F.col("source_id")).alias("b")).where("a is not null and b is not null and a <> b")
+    told = records.select("id", canonical_id(F.col("source_id")).alias("b")).where("id is not null and b is not null")
+    pairs = told.select(canonical_id(F.col("id")).alias("a"), "b").where("a is not null and a <> b")
     denoted = records.select(canonical_id(F.col("source_id")).alias("a")).where("a is not null").distinct()
-    return pairs.join(denoted, "a", "left_semi").distinct()
+    several = told.groupBy("id").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("id", "a")
+    return pairs.join(denoted, "a", "left_semi").unionByName(told.join(several, "id").where("a <> b").select("a", "b")).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -89,51 +92,43 @@ def record_families(records: DataFrame) -> DataFrame:
     return keyed.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("family"))
 
 
-def choose_counts(sizes: dict[int, int], target: int, span: int = BITSET_SPAN) -> dict[int, int]:
+def choose_counts(sizes: dict[int, int], target: int, reach: int = REACH) -> dict[int, int]:
     """How many families of each size to take so that their total comes closest to `target`.
 
-    `sizes` maps a size to the number of families of it. Multiplicities are split into
-    powers of two; bit s of a Python integer says that the sum s can be reached. When the
-    target is beyond `span`, large families are taken whole first, and the bitset closes
-    the remaining gap from what is left.
+    `sizes` maps a size to the number of families of it. A greedy choice, large families
+    first, is a corner of the relaxed problem; some best choice differs from it in at most
+    2m + 1 families, m being the largest size, so only totals within m (2m + 1) of it
+    matter. Bit s of a Python integer says that the greedy total can be changed by s;
+    multiplicities are split into powers of two. Totals beyond `reach` are not looked at, so
+    the result is the closest for families of up to sqrt(reach / 2) records at any number of
+    records, and for any families when all of them together stay within `reach`.
     """
-    taken: dict[int, int] = {}
-    left = dict(sizes)
-    rest = target
-    for size in sorted(sizes, reverse=True):
-        if rest <= span // 2:
-            break
-        n = min(left[size], max(0, (rest - span // 2 + size - 1) // size), rest // size)
-        if n:
-            taken[size] = n
-            left[size] -= n
-            rest -= n * size
-    limit = min(2 * rest, sum(s * n for s, n in left.items()))  # a sum beyond twice the rest is worse than none
-    parts: list[tuple[int, int]] = []
-    for size, n in sorted(left.items()):
-        k = 1
-        while n > 0 and size <= limit:
-            part = min(k, n, max(1, limit // size))
-            parts.append((size, part))
-            n -= part
-            if part < k:
-                break
-            k *= 2
-    mask = (1 << (limit + 1)) - 1
-    reach = [1]
-    for size, n in parts:
-        reach.append((reach[-1] | reach[-1] << size * n) & mask)
-    best = 0
-    for gap in range(max(rest, limit) + 1):
-        found = [s for s in (rest - gap, rest + gap) if 0 <= s <= limit and reach[-1] >> s & 1]
-        if found:
-            best = found[0]
-            break
-    for i in range(len(parts) - 1, -1, -1):
-        size, n = parts[i]
-        if not reach[i] >> best & 1:
-            taken[size] = taken.get(size, 0) + n
-            best -= size * n
+    order = sorted((s for s, n in sizes.items() if n > 0), reverse=True)
+    if not order:
+        return {}
+    taken, rest = {}, target
+    for s in order:
+        taken[s] = min(sizes[s], rest // s)
+        rest -= taken[s] * s
+    most = 2 * order[0] + 1
+    width = max(1, min(order[0] * most, sum(s * sizes[s] for s in order), reach))
+    middle = 2 * width
+    window = ((1 << (2 * width + 1)) - 1) << width
+    states, ranges = [1 << middle], []
+    for s in order:
+        fewer, more = (min(x, most, middle // s) for x in (taken[s], sizes[s] - taken[s]))
+        bits, left, k = states[-1] >> fewer * s, fewer + more, 1
+        while left:
+            part = min(k, left)
+            bits |= bits << part * s
+            left, k = left - part, 2 * k
+        states.append(bits & window)
+        ranges.append((s, fewer, more))
+    at = next(middle + d for gap in range(2 * width + rest + 1) for d in (rest - gap, rest + gap) if -width <= d <= width and states[-1] >> middle + d & 1)
+    for (s, fewer, more), before in zip(reversed(ranges), reversed(states[:-1]), strict=True):
+        d = next(d for k in range(max(fewer, more) + 1) for d in (k, -k) if -fewer <= d <= more and at >= d * s and before >> at - d * s & 1)
+        taken[s] += d
+        at -= d * s
     return {s: n for s, n in taken.items() if n}
 
 
@@ -141,15 +136,17 @@ def assign_splits(families: DataFrame, shares: Sequence[tuple[str, float]] = SHA
     """`(family, split)` from `(id, family)`: whole families, totals as near the shares as can be.
 
     Only the histogram of family sizes comes to the driver: at most sqrt(2n) rows for n
-    records. Within a size, families are numbered by a salted hash in buckets whose
-    offsets come from per-bucket counts.
+    records. Within a size, families are numbered by a salted hash in buckets, as many as
+    keep each small, whose offsets come from per-bucket counts.
     """
     if abs(sum(s for _, s in shares) - 1) > 1e-9 or any(s < 0 for _, s in shares):
         raise ValueError("shares must be non-negative and add up to 1")
     spark = families.sparkSession
-    sized = cut(families.groupBy("family").agg(F.count("*").alias("size")).withColumn("key", F.sha2(F.concat(F.lit(salt + ":"), "family"), 256)).withColumn("bucket", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % RANK_BUCKETS)))
+    sized = cut(families.groupBy("family").agg(F.count("*").alias("size")).withColumn("key", F.sha2(F.concat(F.lit(salt + ":"), "family"), 256)))
+    histogram = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET))
+    sized = sized.withColumn("bucket", F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % buckets)
     per_bucket = sized.groupBy("size", "bucket").agg(F.count("*").alias("n"))
-    histogram = {r["size"]: r["n"] for r in per_bucket.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     total = sum(s * n for s, n in histogram.items())
     rows, start, left = [], dict.fromkeys(histogram, 0), dict(histogram)
     for name, share in list(shares)[1:]:

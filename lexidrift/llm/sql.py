@@ -22,13 +22,17 @@ def sample(rate: float, key: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     families = f"""
-        with recursive raw as (select {canonical("id")} as a, {canonical("source_id")} as b, source_id from raid_train),
+        with recursive raw as (select id, {canonical("id")} as a, {canonical("source_id")} as b, source_id from raid_train),
         denoted as (select distinct b from raw where b is not null),
-        pairs as (select distinct a, b from raw where a is not null and b is not null and a <> b and a in (select b from denoted)),
-        links as (select a as x, b as y from pairs union select b, a from pairs),
+        pairs as (select distinct a, b from raw where id is not null and a is not null and b is not null and a <> b and a in (select b from denoted)),
+        carried as (select distinct id, b from raw where id is not null and b is not null),
+        shared as (select distinct p.b as a, q.b as b from carried p join carried q on p.id = q.id and p.b <> q.b),
+        every as (select a, b from pairs union select a, b from shared),
+        links as (select a as x, b as y from every union select b, a from every),
         reach as (select distinct x as n, x as m from links union select r.n, l.y from reach r join links l on l.x = r.m),
         roots as (select n, min(m) as root from reach group by n),
-        family as (select distinct source_id, coalesce(root, b) as f from raw left join roots on n = b where b is not null)
+        family as (select distinct source_id, coalesce(root, b) as f from raw left join roots on n = b where b is not null)"""
+    pairs = families + """
         select p.source_id as source_id_1, q.source_id as source_id_2 from family p join family q on p.f = q.f and p.source_id < q.source_id"""
     own = canonical("id")
     n = LENGTHS[0]
@@ -41,7 +45,8 @@ def oracle_sql() -> dict[str, str]:
         select id from covered join letters using (id) where c >= {MIN_SHARE} * length(s)"""
     return {
         "p2_found": repetitive,
-        "p1_found": families,
+        "p1_found": pairs,
+        "p1_families": families + " select source_id, f as family from family",
         "p5_sample_by_id": sample(0.1, f"coalesce({own}, id)"),
         "p5_sample_by_source": sample(0.1, f"coalesce({canonical('source_id')}, {own}, id)"),
     }

@@ -33,6 +33,27 @@ def test_related_sources(spark):
     assert splits.related_sources(frame.where("false")).count() == 0
 
 
+def test_a_record_under_two_sources_ties_them(spark):
+    a, b, c = uid(1), uid(2), uid(3)
+    frame = spark.createDataFrame([("r1", a), ("r1", b), ("r2", a), ("r3", b), ("r3", None), ("r4", c), (None, a), (None, c)], "id string, source_id string")
+    assert [(r[0], r[1]) for r in splits.related_sources(frame).collect()] == [(a, b)]
+    family = {r.id: r.family for r in splits.record_families(frame).collect()}
+    assert family["r1"] == family["r2"] == family["r3"] != family["r4"]
+    assert len({r.split for r in splits.split_records(frame).collect() if r.id != "r4"}) == 1
+
+
+def test_subset_sum_at_any_number_of_records():
+    """Many families: the closest total is met exactly though the sums exceed what the bits reach."""
+    rng = random.Random(21)
+    for _ in range(10):
+        sizes = {s: rng.randint(1, 10**7) for s in rng.sample(range(2, 90), 6)} | {300: 3}
+        target = rng.randint(0, sum(s * n for s, n in sizes.items()))
+        got = splits.choose_counts(sizes, target)
+        assert all(0 < n <= sizes[s] for s, n in got.items())
+        step = np.gcd.reduce(list(sizes))
+        assert abs(sum(s * n for s, n in got.items()) - target) <= step // 2
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randint(0, 90):02d}", f"n{rng.randint(0, 90):02d}") for _ in range(70)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)]
@@ -369,6 +390,39 @@ def test_leaks(spark):
     assert {r.item_id: r.documents for r in leakage.leak_report(d, e).collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 1}
 
 
+@pytest.mark.parametrize("copies", [4, 8, 40])
+def test_frequent_passages_stay_found(spark, copies):
+    """Passages of few different words, however many documents hold them; more documents never hide one."""
+    rng = random.Random(18)
+    phrase = words(rng, 6)
+    changed = words(rng, 40).split()
+    items = [words(rng, 20) + " " + " ".join([phrase] * 6) + " " + words(rng, 20), words(rng, 9) + " " + " ".join(changed) + " " + words(rng, 9)]
+    middle = [("zz" if k in (12, 17, 22, 27) else w) for k, w in enumerate(changed)]  # 4 of 40, all in the middle
+    docs = [(k, words(rng, 15) + " " + " ".join([phrase] * 6) + " " + words(rng, 15)) for k in range(copies)] + [(100 + k, " ".join(middle)) for k in range(copies)]
+    docs += [(200, " ".join(changed[:29])), (201, " ".join("zz" if k in (3, 9, 15, 21) else w for k, w in enumerate(changed[:31])))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, e).collect()}
+    assert got == {(k, 0) for k in range(copies)} | {(100 + k, 1) for k in range(copies)}
+
+
+def test_longest_passage_equals_brute_force():
+    """Exact on stretches without gaps, whatever scores better elsewhere."""
+    rng = random.Random(28)
+    for _ in range(40):
+        item = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)]
+        part = item[10 : 10 + rng.randint(25, 45)]
+        for i in rng.sample(range(len(part)), rng.randint(0, 5)):
+            part[i] = "?"
+        doc = ["."] * 5 + part + ["!"] * 8 + item[:29]
+        want = 0
+        for shift in range(-len(item), len(doc)):
+            good = [doc[j + shift] == item[j] for j in range(len(item)) if 0 <= j + shift < len(doc)]
+            want = max([want, *(b - a for a in range(len(good)) for b in range(a + 1, len(good) + 1) if 10 * (b - a - sum(good[a:b])) <= b - a)])
+        got = leakage.longest_passage(doc, item)
+        assert got >= want if want >= 30 else got < 30 or got >= want
+
+
 # ---- 9
 
 
