@@ -143,7 +143,7 @@ def signatures(counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tu
         scale = 1.0 / weights[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
         minima = np.empty((SKETCH, len(counts)), dtype=np.uint64)
         for k, f in enumerate(_factors(SKETCH, 20240229)):
-            minima[k] = np.minimum.reduceat((_mixed(single * f) >> np.uint64(11)).astype(np.float64) * scale, starts).view(np.uint64)
+            minima[k] = np.minimum.reduceat(((single * f) >> np.uint64(11)).astype(np.float64) * scale, starts).view(np.uint64)
         minima = _mixed(minima)
         bands = np.empty((len(counts), BANDS), dtype=np.uint32)
         for b in range(BANDS):  # no minimum is in two bands
@@ -167,12 +167,12 @@ def most_unlike(least: float) -> int:
 
 def _number(cls: Column) -> Column:
     """The number of a class: the first 64 bits of its hash."""
-    return F.conv(F.substring(cls, 1, 16), 16, -10).cast("long")
+    return F.conv(F.hex(F.substring(cls, 1, 8)), 16, -10).cast("long")
 
 
 def _reduced(records: DataFrame) -> DataFrame:
     split = F.lower(F.trim("split_name"))
-    return records.where(F.col("id").isNotNull() & split.isin("train", "validation", "test") & (F.length("generation") >= MIN_LETTERS)).select("id", split.alias("split_name"), "source_id", "generation")
+    return records.where(F.col("id").isNotNull() & split.isin("train", "validation", "test") & (F.length("generation") >= MIN_LETTERS)).select("id", (split != "train").alias("evaluation"), "generation")
 
 
 def _letters(texts: list[str]) -> np.ndarray:
@@ -194,40 +194,40 @@ def _stream(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
     return keep, np.array(counts, dtype=np.int64), np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
 
 
-def _classes(counts: np.ndarray, words: np.ndarray) -> list[str]:
+def _classes(counts: np.ndarray, words: np.ndarray) -> list[bytes]:
     ends = np.cumsum(counts)
-    return [xxhash.xxh3_128_hexdigest(words[e - c : e].tobytes()) for c, e in zip(counts, ends, strict=True)]
+    return [xxhash.xxh3_128_digest(words[e - c : e].tobytes()) for c, e in zip(counts, ends, strict=True)]
 
 
 def _described(records: DataFrame) -> DataFrame:
-    """Rows `(id, split_name, source_id, cls)` of the records of a split with enough letters, and, of each task, rows
+    """Rows `(id, evaluation, cls)` of the records of a split with enough letters, and, of each task, rows
     `(buckets, documents)` that count its texts by bucket of words; one pass gives both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, dtype=np.int64)
-        names = ["id", "split_name", "source_id", "cls", "buckets", "documents"]
+        names = ["id", "evaluation", "cls", "buckets", "documents"]
         for batch in batches:
-            keep, counts, words = _stream(batch.column(3).to_pylist())
+            keep, counts, words = _stream(batch.column(2).to_pylist())
             bucket = np.unique(np.repeat(np.arange(len(counts)), counts) * COUNTERS + (words & np.uint64(COUNTERS - 1)).astype(np.int64)) % COUNTERS
             seen += np.bincount(bucket, minlength=COUNTERS)
             part = batch.take(pa.array(keep, pa.int64()))
             none = pa.nulls(len(keep), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(_classes(counts, words), pa.string()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_classes(counts, words), pa.binary()), none, none], names=names)
         held = np.flatnonzero(seen)
         if len(held):
             told = [pa.array([x], pa.list_(pa.int32())) for x in (held.astype(np.int32), np.minimum(seen[held], 2**31 - 1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.string()) for _ in range(4)), *told], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), *told], names=names)
 
-    return _reduced(records).mapInArrow(run, "id string, split_name string, source_id string, cls string, buckets array<int>, documents array<int>")
+    return _reduced(records).mapInArrow(run, "id string, evaluation boolean, cls binary, buckets array<int>, documents array<int>")
 
 
 def features(records: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """`(id, split_name, source_id, evaluation, cls, n)` of records of a split with enough letters, stored, and the word weights.
+    """`(id, evaluation, cls, n)` of records of a split with enough letters, stored, and the word weights.
 
     The weights count every text; to the driver come at most `COUNTERS` sums.
     """
     both = cut(_described(records))
-    told = both.where("cls is not null").select("id", "split_name", "source_id", (F.col("split_name") != "train").alias("evaluation"), "cls", _number(F.col("cls")).alias("n"))
+    told = both.where("cls is not null").select("id", "evaluation", "cls", _number(F.col("cls")).alias("n"))
     sums = both.where("cls is null").select(F.explode(F.arrays_zip("buckets", "documents")).alias("x")).groupBy("x.buckets").agg(F.sum("x.documents").alias("documents")).toPandas()
     documents = np.zeros(COUNTERS, dtype=np.int64)
     documents[sums["buckets"].to_numpy(dtype=np.int64)] = sums["documents"].to_numpy(dtype=np.int64)
@@ -242,7 +242,7 @@ def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bool]] = set()
+        seen: set[tuple[bytes, bool]] = set()
         for batch in batches:
             keep, counts, words = _stream(batch.column(1).to_pylist())
             sides = batch.column(0).to_pylist()
@@ -253,15 +253,14 @@ def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
             parts = np.split(words, np.cumsum(counts)[:-1])
             counts, parts = counts[fresh], [parts[k] for k in fresh]
             bands, marks = signatures(counts, np.concatenate(parts), shared.value)
-            numbers = np.array([int(names[k][:16], 16) for k in fresh], dtype=np.uint64).view(np.int64)
+            numbers = np.array([int.from_bytes(names[k][:8], "big") for k in fresh], dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbers), pa.array([sides[keep[k]] for k in fresh], pa.bool_()), *(pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in (0, 1)), pa.array([x.astype(np.uint8).tobytes() for x in parts], pa.binary()), bands],
                 names=["n", "evaluation", "mark", "mark2", "code", "bands"],
             )
 
-    rows = _reduced(records).select((F.col("split_name") != "train").alias("evaluation"), "generation")
-    return rows.mapInArrow(run, "n long, evaluation boolean, mark long, mark2 long, code binary, bands array<int>")
+    return _reduced(records).select("evaluation", "generation").mapInArrow(run, "n long, evaluation boolean, mark long, mark2 long, code binary, bands array<int>")
 
 
 def band_matches(keys: DataFrame, least: float) -> DataFrame:
@@ -300,6 +299,7 @@ def subsequences(a: list[np.ndarray], b: list[np.ndarray], need: np.ndarray | No
     mask = np.where(held == 64, np.uint64(2**64 - 1), (np.uint64(1) << (held % 64).astype(np.uint64)) - np.uint64(1))
     base = np.arange(len(rows)) * 256
     out = np.zeros(len(rows), dtype=np.int64)
+    apart = int((steps - least).max())  # words further apart are in no subsequence of the length needed
     with np.errstate(over="ignore"):
         for i in range(len(text)):
             if i % 16 == 0:
@@ -313,7 +313,7 @@ def subsequences(a: list[np.ndarray], b: list[np.ndarray], need: np.ndarray | No
             active = int(np.searchsorted(-steps[rows], -i, side="left"))
             at = base[:active] + text[i, :active]
             carry = None
-            for lane in range(lanes):
+            for lane in range(max(0, i - apart) // 64, min(lanes, (i + apart) // 64 + 1)):
                 m, old = where[lane].take(at), v[lane, :active]
                 total = old + (old & m)
                 if lanes > 1:
@@ -486,7 +486,7 @@ def overlapping_classes(records: DataFrame, described: DataFrame, weights: np.nd
 
     `described` and `weights` come from `features`. Each class is represented by its smallest id.
     """
-    classes = cut(described.groupBy("cls", "n").agg(F.min("id").alias("id"), F.max("evaluation").alias("in_eval"), (~F.min("evaluation")).alias("in_train")))
+    classes = described.groupBy("cls", "n").agg(F.min("id").alias("id"), F.max("evaluation").alias("in_eval"), (~F.min("evaluation")).alias("in_train"))
     same = classes.where("in_eval and in_train").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("agreement"), F.lit(1.0).alias("jaccard"))
     keys = cut(banded(records, weights))
     candidates = cut(in_order(band_matches(keys, least), keys.select("n", "evaluation", "code"), least))
@@ -512,7 +512,7 @@ def overlapping_classes(records: DataFrame, described: DataFrame, weights: np.nd
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shares, pa.float64()), pa.array(similar, pa.float64())], names=["train_cls", "eval_cls", "agreement", "jaccard"])
 
-    near = paired.mapInArrow(verify, "train_cls string, eval_cls string, agreement double, jaccard double")
+    near = paired.mapInArrow(verify, "train_cls binary, eval_cls binary, agreement double, jaccard double")
     return same.unionByName(near.where("train_cls <> eval_cls"))
 
 
@@ -535,8 +535,10 @@ def overlap_classes(records: DataFrame, least: float = MIN_AGREEMENT) -> DataFra
     pairs = cut(overlapping_classes(records, described, weights, least))
     sizes = described.where("not evaluation").groupBy("cls").agg(F.countDistinct("id").alias("n")).withColumnRenamed("cls", "train_cls")
     linked = pairs.join(sizes, "train_cls").groupBy("eval_cls").agg(F.count("*").alias("linked_classes"), F.sum("n").alias("linked_records")).withColumnRenamed("eval_cls", "cls")
-    once = described.where("evaluation").groupBy("id").agg(F.min("split_name").alias("split_name"), F.min("source_id").alias("source_id"), F.min("cls").alias("cls"))
-    return once.join(linked, "cls").select("id", "split_name", "source_id", "cls", "linked_classes", "linked_records")
+    split = F.lower(F.trim("split_name"))
+    labels = records.where(F.col("id").isNotNull() & split.isin("validation", "test")).groupBy("id").agg(F.min(split).alias("split_name"), F.min("source_id").alias("source_id"))
+    once = described.where("evaluation").groupBy("id").agg(F.min("cls").alias("cls"))
+    return once.join(linked, "cls").join(labels, "id").select("id", "split_name", "source_id", F.lower(F.hex("cls")).alias("cls"), "linked_classes", "linked_records")
 
 
 def overlap_report(records: DataFrame, least: float = MIN_AGREEMENT) -> DataFrame:
