@@ -65,20 +65,25 @@ def is_empty(text: str) -> bool:
 
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？।؟…])[\"”’»)]*\s+|(?<=[。！？])")
-#: A refusal may add this many short sentences (a wish, an offer, a reason).
-EXTRA, EXTRA_WORDS = 2, 16
+#: To each sentence that declines a refusal may add so many short ones (a wish, an offer, a reason); words of either.
+EXTRA, EXTRA_WORDS, DECLINING_WORDS = 2, 16, 24
+
+
+def _declines(sentence: str) -> bool:
+    return any(True for _ in _refusals().iter(sentence)) and not NOT_REFUSALS.search(sentence)
 
 
 def is_refusal(text: str) -> bool:
-    """The first sentence declines in the first person, and nothing but a short courtesy follows."""
-    if len(text) > 400:
+    """One of the first two sentences declines in the first person, and nothing but more of it and short courtesy follows, however long."""
+    lowered = text.lower().replace("’", "'")
+    opening = [p for p in _SENTENCE.split(lowered, maxsplit=3)[:3] if any(map(str.isalnum, p))][:2]
+    if not any(map(_declines, opening)):
         return False
-    parts = [p for p in _SENTENCE.split(text.lower().replace("’", "'")) if p and any(map(str.isalnum, p))]
-    hits = [any(True for _ in _refusals().iter(p)) and not NOT_REFUSALS.search(p) for p in parts]
-    if not any(hits[:2]) or len(parts) > 1 + EXTRA + hits[1:2].count(True):
+    parts = [p for p in _SENTENCE.split(lowered) if any(map(str.isalnum, p))]
+    hits = [_declines(p) for p in parts]
+    if hits.count(False) > EXTRA * hits.count(True):
         return False
-    first = hits.index(True)
-    return all(len(p.split()) <= (24 if i == first else EXTRA_WORDS) for i, p in enumerate(parts))
+    return all(len(p.split()) <= (DECLINING_WORDS if hit else EXTRA_WORDS) for p, hit in zip(parts, hits, strict=True))
 
 
 # Words that label a copied prompt.
@@ -228,13 +233,47 @@ MARK_SPAN = 64
 SHORT_WORDS = 4
 
 
+# Delimiters that come in pairs; straight quotation marks and apostrophes don't tell which one they are.
+_PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "》": "《"}
+_DELIMITER = re.compile("[" + re.escape("".join([*_PAIRS, *_PAIRS.values()])) + "]")
+
+
+def unclosed(sentence: str) -> bool:
+    """Whether a stack of delimiters still holds one at the end; a closing one without its partner is left alone."""
+    stack: list[str] = []
+    for mark in _DELIMITER.findall(sentence):
+        if mark in _PAIRS:
+            if stack and stack[-1] == _PAIRS[mark]:
+                stack.pop()
+        else:
+            stack.append(mark)
+    return bool(stack)
+
+
+_BREAK = re.compile(r"[.!?。！？।؟]\s|\n")
+
+
 def cut_state(text: str) -> tuple[str, str]:
+    """How `text` ends, as `_end` tells; an open end inside an open delimiter of the last sentence is a cut."""
+    state, word = _end(text)
+    if state in ("open", "dots", "list", "short"):
+        body = visible(text)
+        last = 0
+        for m in _BREAK.finditer(body.rstrip(".…")):
+            last = m.end()
+        if unclosed(body[last:]):
+            return "cut", "delimiter"
+    return state, word
+
+
+def _end(text: str) -> tuple[str, str]:
     """How `text` ends: `closed`, `cut` with its evidence, or a question for the vocabulary.
 
     `("closed", "")`: it ends with a closing mark, an emoji, an address, a signature, or
     is Thai. `("cut", evidence)`: a truncation mark, half a character, or a comma, dash or
     colon at the end. `("open", word)`: it stops without a mark after `word`. `("dots",
-    word)` and `("list", word)`: suspension points or a list item, complete if `word` is.
+    word)` and `("list", word)`: suspension points or a list item, complete if `word` is;
+    `("short", word)`: a few words, which may be a whole answer.
     """
     body = visible(text)
     if not body:
@@ -281,5 +320,5 @@ def cut_state(text: str) -> tuple[str, str]:
     if last in ",;:，、：；-–—~&/+=\\*#_|<([{“„«「《":
         return "cut", "inside_sentence"
     if len(body.split()) <= SHORT_WORDS and not re.search(r"[.!?。！？]", body) and language(body, 1) not in ("zh", "ja"):
-        return "closed", ""
+        return "short", word
     return "open", word

@@ -1,10 +1,12 @@
 """Problem 6: texts cut off before their end.
 
 A vocabulary of the whole corpus with its trie, both kept as tables (word, and prefix of
-a word), decides what the last word of an open text is: an unknown proper prefix of known
-words was cut inside a word. How often a word closes a sentence decides whether
-suspension points or a list item end a complete text. Lengths at which many texts stop
-are reported as evidence of a field limit.
+a word), says how likely the last word of a text without a closing mark is in either case:
+a text cut at any character ends in a word as frequent as it is anywhere, or in a proper
+prefix of known words as frequent as those are; a complete text ends in a word as often as
+that word closes sentences. Lengths at which more texts stop openly than lengths of complete
+texts let expect speak for a cut as well. The share of cut texts among the open ends is
+fitted to all of them, apart for each way of ending, so no threshold has to be chosen.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +25,10 @@ from lexidrift.plans.lineage import cut
 
 #: A word is known when it occurs so often away from an open end.
 KNOWN = 2
-#: A shorter form is unknown all the same while the words that begin with it are this many times as frequent.
-RARE_FORM = 1000
-#: A word may end a text with suspension points when this share of its uses closes a sentence; a list item needs less.
-DOTS_SHARE, LIST_SHARE = 0.10, 0.004
-#: Likewise when that many texts end with the word and suspension points, relative to its other uses.
-SUSPENSE, SUSPENSE_SHARE = 2, 0.01
+#: Texts that weigh as much as what is counted at one length.
+PRIOR_TEXTS = 5.0
+#: Steps of a doubling in which likelihood ratios are tallied to fit the share of cut texts, their bound, and rounds of the fit.
+STEPS, BOUND, ROUNDS = 4, 160, 200
 _RUN = re.compile(r"[^\s\d.,;:!?…\"“”„«»()\[\]<>{}—–/\\।。！？，、「」《》]+[\"”’»)\]]*[.!?…।\n]?")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _ENDS = frozenset(".!?…।\n")
@@ -97,39 +98,90 @@ def open_ends(rows: DataFrame, keys: Sequence[str], text: str, prompt: str | Non
     return kept.mapInArrow(run, ddl)
 
 
-def judge(ends: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`(keys…, evidence)` of the open ends that are cuts.
+def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """`(word, n, longer, ratio)` of the asked words: uses, uses of known words that begin with it, and how much
+    likelier the word is at a cut than at the end of a complete text. Without any known word there is no row.
 
-    `inside_word`: the last word is unknown and a proper prefix of known words (found by
-    joining on the trie's nodes); `inside_sentence`: it is known, and the text stops where
-    no sentence does; `inside_character` and `mark` speak for themselves.
+    A cut falls inside a word in proportion to the letters there. What a complete text's
+    last word may be beyond those seen to close a sentence follows from the number of
+    words that close one only once.
     """
-    ends, words = cut(ends), cut(words)
-    asked = ends.where("state <> 'cut'").select("word").distinct()
     known = words.where(F.col("n") >= KNOWN)
+    sums = known.agg(F.sum("n").alias("uses"), F.sum(F.col("n") * (F.length("word") - 1)).alias("inner"), F.sum("final").alias("closing"), F.sum("dots").alias("suspended"), F.count_if(F.col("final") == 1).alias("once"), F.count("*").alias("types")).where("uses > 0")
     lengths = F.filter(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: i < F.length("word"))
     node = F.explode(F.transform(lengths, lambda i: F.col("word").substr(F.lit(1), i))).alias("word")
     trie = known.select(node, "n").join(asked, "word").groupBy("word").agg(F.sum("n").alias("longer"))
-    count = F.when(F.col("n") * RARE_FORM >= F.coalesce("longer", F.lit(0)), F.col("n")).otherwise(0)
-    facts = asked.join(known, "word", "left").join(trie, "word", "left").select("word", F.coalesce(count, F.lit(0)).alias("n"), F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("dots", F.lit(0)).alias("dots"), F.col("longer").isNotNull().alias("is_prefix"))
+    told = asked.join(known, "word", "left").join(trie, "word", "left").na.fill(0, ["n", "final", "dots", "longer"]).crossJoin(F.broadcast(sums))
+    whole = (F.col("n") + 1) / (F.col("uses") + F.col("types"))
+    inside = F.col("longer") / F.greatest(F.col("inner"), F.lit(1))
+    within = F.col("inner") / (F.col("inner") + 2 * F.col("uses"))
+    cut_here = (1 - within) * whole + within * inside
+    unseen = F.col("once") + 1
+    closes = (F.col("final") + unseen * whole) / (F.col("closing") + unseen)
+    # of words before suspension points, those of the other texts count as well
+    suspends = F.greatest(F.col("dots") - 1, F.lit(0)) / F.greatest(F.col("suspended"), F.lit(1))
+    return told.select("word", "n", "longer", (cut_here / closes).alias("ratio"), (cut_here / F.greatest(closes, suspends)).alias("dots_ratio"))
+
+
+def judge(ends: DataFrame, words: DataFrame, keys: Sequence[str], lengths: DataFrame | None = None) -> DataFrame:
+    """`(keys…, evidence)` of the open ends that are cuts.
+
+    `inside_word`: the last word is no known one and a proper prefix of known words (found by
+    joining on the trie's nodes); `inside_sentence`: the text stops where no sentence does;
+    `inside_character`, `mark` and `delimiter` speak for themselves. `lengths(length, ratio)`
+    tells how much likelier a length is for a cut text; `keys` then hold `length`. Where the
+    vocabulary is empty nothing speaks for a cut. To the driver come tallies of bounded size.
+    """
+    ends, words = cut(ends), cut(words)
+    facts = word_facts(ends.where("state <> 'cut'").select("word").distinct(), words)
     told = ends.join(facts, "word", "left")
-    fragment = (F.col("n") == 0) & F.col("is_prefix")
-    suspense = (F.col("n") > 0) & (F.col("dots") >= SUSPENSE) & (F.col("dots") >= SUSPENSE_SHARE * F.col("n"))
-    closing = F.col("final") / F.greatest(F.col("n"), F.lit(1))
-    evidence = (
-        F.when(F.col("state") == "cut", F.col("word"))
-        .when(F.col("state") == "open", F.when(fragment, "inside_word").otherwise("inside_sentence"))
-        .when(fragment, "inside_word")
-        .when((F.col("state") == "dots") & ((F.col("n") == 0) | (closing < DOTS_SHARE)) & ~suspense, "inside_sentence")
-        .when((F.col("state") == "list") & (F.col("n") > 0) & (closing < LIST_SHARE), "inside_sentence")
-    )
+    ratio = F.when(F.col("state") == "dots", F.col("dots_ratio")).otherwise(F.col("ratio"))
+    if lengths is not None:
+        told = told.join(lengths.withColumnRenamed("ratio", "length_ratio"), "length", "left")
+        ratio = ratio * F.coalesce("length_ratio", F.lit(1.0))
+    step = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.round(F.log2(ratio) * STEPS))).cast("int")
+    told = cut(told.select(*keys, "state", "word", "n", "longer", step.alias("step")))
+    tally: dict[str, dict[int, int]] = {}
+    for r in told.where("state <> 'cut' and step is not null").groupBy("state", "step").count().collect():
+        tally.setdefault(r["state"], {})[r["step"]] = r["count"]
+    limits = {state: _least_step(counts) for state, counts in tally.items()}
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("state")] if limits else F.lit(None).cast("int")
+    fragment = (F.col("n") < KNOWN) & (F.col("longer") > 0)
+    evidence = F.when(F.col("state") == "cut", F.col("word")).when(F.col("step") >= limit, F.when(fragment, "inside_word").otherwise("inside_sentence"))
     return told.select(*keys, evidence.alias("evidence")).where("evidence is not null")
 
 
+def _least_step(counts: dict[int, int]) -> int:
+    """The least tallied ratio at which a text is more likely cut than complete, for the share of cut texts that fits best.
+
+    Expectation and maximisation over the tally; one text of each kind is taken for granted.
+    """
+    step = np.array(sorted(counts), dtype=float)
+    n = np.array([counts[int(s)] for s in step], dtype=float)
+    ratio = 2.0 ** (step / STEPS)
+    share = 0.5
+    for _ in range(ROUNDS):
+        cuts = float((n * share * ratio / (share * ratio + 1 - share)).sum())
+        share = (cuts + 1) / (n.sum() + 2)
+    good = step[share * ratio > 1 - share]
+    return int(good.min()) if len(good) else BOUND + 1
+
+
+def length_ratios(records: DataFrame, ends: DataFrame, text: str) -> DataFrame:
+    """`(length, ratio)`: open ends at a length against what the lengths of all other texts let expect."""
+    closed = records.where(~maybe_open(F.col(text))).groupBy(F.length(text).alias("length")).agg(F.count("*").alias("closed"))
+    opened = ends.groupBy("length").agg(F.count("*").alias("opened"))
+    sums = closed.agg(F.sum("closed").alias("c")).crossJoin(opened.agg(F.sum("opened").alias("o")))
+    at = opened.join(closed, "length", "left").crossJoin(F.broadcast(sums))
+    expected = F.coalesce("closed", F.lit(0)) * F.col("o") / F.greatest(F.coalesce("c", F.lit(0)), F.lit(1))
+    return at.select("length", ((F.col("opened") + PRIOR_TEXTS) / (expected + PRIOR_TEXTS)).alias("ratio"))
+
+
 def truncated(records: DataFrame) -> DataFrame:
     """`(id, evidence, length)` of the records whose generation was cut off, each id once."""
     rows = records.select("id", "generation", "prompt").where("id is not null").withColumn("length", F.length("generation"))
-    cuts = judge(open_ends(rows, ["id", "length"], "generation", "prompt"), vocabulary(records, "generation"), ["id", "length"])
+    ends = cut(open_ends(rows, ["id", "length"], "generation", "prompt").dropDuplicates(["id", "length"]))
+    cuts = judge(ends, vocabulary(records, "generation"), ["id", "length"], length_ratios(records, ends, "generation"))
     return cuts.groupBy("id").agg(F.min("evidence").alias("evidence"), F.min("length").alias("length"))
 
 
