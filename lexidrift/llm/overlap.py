@@ -37,10 +37,12 @@ BANDS, ROWS = 28, 3
 SKETCH, SLACK = 117, 2.2
 #: Steps of a factor e in which a text's length stands beside its sketch.
 STEPS = 50
-#: Buckets of word hashes in which the corpus counts documents, so a table of fixed size holds the weights.
+#: Buckets of word hashes in which the corpus counts words, so a table of fixed size holds the weights.
 COUNTERS = 1 << 18
-#: Texts below which a word counts as being in so many.
+#: Uses below which a word counts as having so many.
 SELDOM = 8
+#: Texts whose minima are taken together, so that they stay in the cache.
+AT_A_TIME = 1000
 #: Texts of a side in one tile of the grid at most; a byte a word, so some ten megabytes.
 TILE = 50_000
 MIN_LETTERS = 300
@@ -122,12 +124,12 @@ def unlike(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count((marks[:, 0] ^ others[:, 0]) & np.uint64((1 << _LOW) - 1)).astype(int) + np.bitwise_count(marks[:, 1] ^ others[:, 1])
 
 
-def word_weights(documents: np.ndarray, total: int) -> np.ndarray:
-    """Weight of each bucket of words: one, and one more for each halving of the share of texts that hold it.
+def word_weights(uses: np.ndarray, texts: int) -> np.ndarray:
+    """Weight of each bucket of words: one, and one more for each halving of its uses below one a text.
 
-    Below `SELDOM` texts all weigh the same, so what only a few copies share weighs no less than what one of them changed.
+    Below `SELDOM` uses all weigh the same, so what only a few copies share weighs no less than what one of them changed.
     """
-    return np.floor(np.log2(np.maximum(total // np.maximum(documents, SELDOM), 1) + 0.5)).astype(np.uint8) + np.uint8(1)
+    return np.floor(np.log2(np.maximum(texts // np.maximum(uses, SELDOM), 1) + 0.5)).astype(np.uint8) + np.uint8(1)
 
 
 def signatures(counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +187,15 @@ def _letters(texts: list[str]) -> np.ndarray:
 
 def _stream(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Of the texts with enough letters their places, numbers of words, and hashes of all words."""
-    counts, stream = [], []
-    keep = [int(i) for i in np.flatnonzero(_letters(texts) >= MIN_LETTERS)]
-    for i in keep:
-        words = comparable_words(texts[i]) or [""]
+    keep, counts, stream = [], [], []
+    others = [i for i, text in enumerate(texts) if not text.isascii()]
+    enough = dict(zip(others, _letters([texts[i] for i in others]) >= MIN_LETTERS, strict=True))
+    for i, text in enumerate(texts):
+        words = comparable_words(text) or [""] if enough.get(i, True) else []
+        # words of ASCII texts hold all their letters
+        if not words or i not in enough and len("".join(words)) < MIN_LETTERS:
+            continue
+        keep.append(i)
         counts.append(len(words))
         stream.extend(words)
     return keep, np.array(counts, dtype=np.int64), np.fromiter(map(_WORDS.__getitem__, stream), dtype=np.uint64, count=len(stream))
@@ -201,15 +208,14 @@ def _classes(counts: np.ndarray, words: np.ndarray) -> list[bytes]:
 
 def _described(records: DataFrame) -> DataFrame:
     """Rows `(id, evaluation, cls)` of the records of a split with enough letters, and, of each task, rows
-    `(buckets, documents)` that count its texts by bucket of words; one pass gives both."""
+    `(buckets, uses)` that count its words by bucket; one pass gives both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, dtype=np.int64)
-        names = ["id", "evaluation", "cls", "buckets", "documents"]
+        names = ["id", "evaluation", "cls", "buckets", "uses"]
         for batch in batches:
             keep, counts, words = _stream(batch.column(2).to_pylist())
-            bucket = np.unique(np.repeat(np.arange(len(counts)), counts) * COUNTERS + (words & np.uint64(COUNTERS - 1)).astype(np.int64)) % COUNTERS
-            seen += np.bincount(bucket, minlength=COUNTERS)
+            seen += np.bincount((words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             part = batch.take(pa.array(keep, pa.int64()))
             none = pa.nulls(len(keep), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_classes(counts, words), pa.binary()), none, none], names=names)
@@ -218,7 +224,7 @@ def _described(records: DataFrame) -> DataFrame:
             told = [pa.array([x], pa.list_(pa.int32())) for x in (held.astype(np.int32), np.minimum(seen[held], 2**31 - 1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), *told], names=names)
 
-    return _reduced(records).mapInArrow(run, "id string, evaluation boolean, cls binary, buckets array<int>, documents array<int>")
+    return _reduced(records).mapInArrow(run, "id string, evaluation boolean, cls binary, buckets array<int>, uses array<int>")
 
 
 def features(records: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -228,10 +234,10 @@ def features(records: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """
     both = cut(_described(records))
     told = both.where("cls is not null").select("id", "evaluation", "cls", _number(F.col("cls")).alias("n"))
-    sums = both.where("cls is null").select(F.explode(F.arrays_zip("buckets", "documents")).alias("x")).groupBy("x.buckets").agg(F.sum("x.documents").alias("documents")).toPandas()
-    documents = np.zeros(COUNTERS, dtype=np.int64)
-    documents[sums["buckets"].to_numpy(dtype=np.int64)] = sums["documents"].to_numpy(dtype=np.int64)
-    return told, word_weights(documents, told.count())
+    sums = both.where("cls is null").select(F.explode(F.arrays_zip("buckets", "uses")).alias("x")).groupBy("x.buckets").agg(F.sum("x.uses").alias("uses")).toPandas()
+    uses = np.zeros(COUNTERS, dtype=np.int64)
+    uses[sums["buckets"].to_numpy(dtype=np.int64)] = sums["uses"].to_numpy(dtype=np.int64)
+    return told, word_weights(uses, told.count())
 
 
 def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -252,7 +258,7 @@ def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
                 continue
             parts = np.split(words, np.cumsum(counts)[:-1])
             counts, parts = counts[fresh], [parts[k] for k in fresh]
-            bands, marks = signatures(counts, np.concatenate(parts), shared.value)
+            bands, marks = map(np.concatenate, zip(*(signatures(counts[k : k + AT_A_TIME], np.concatenate(parts[k : k + AT_A_TIME]), shared.value) for k in range(0, len(parts), AT_A_TIME)), strict=True))
             numbers = np.array([int.from_bytes(names[k][:8], "big") for k in fresh], dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays(
