@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import ahocorasick
 
-from lexidrift.llm.language import asked_language, language
+from lexidrift.llm.language import LetterModel, asked_language, language
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮]")
 
@@ -207,14 +207,14 @@ def is_copy(prompt: str, text: str) -> bool:
 LANGUAGE_LETTERS = 20
 
 
-def in_other_language(prompt: str, text: str) -> bool:
+def in_other_language(prompt: str, text: str, model: LetterModel | None = None) -> bool:
     """Both languages can be told and they differ."""
     if len(text) < 10 * LANGUAGE_LETTERS and sum(map(str.isalpha, text)) < LANGUAGE_LETTERS:
         return False
-    told = language(text, 3)
+    told = language(text, 3) or (model.language(text) if model else None)
     if told is None:
         return False
-    asked = asked_language(prompt)
+    asked = asked_language(prompt, model)
     return asked is not None and asked != told
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexidrift.llm.defects import cut_state, in_other_language, is_copy, is_empty, is_refusal, visible
+from lexidrift.llm.language import LetterModel
 from lexidrift.llm.truncation import judge, vocabulary
 from lexidrift.plans.lineage import cut
 
@@ -26,6 +27,16 @@ def hc3_pairs(answers: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1]).withColumn("answer_no", F.coalesce("answer_no", F.lit(-1))).select(*KEYS, "prompt", "answer")
 
 
+#: Answers on which the letter model is trained (those of the lowest hash), and their length at most.
+SAMPLE, SAMPLE_CHARS = 3000, 20_000
+
+
+def letter_model(pairs: DataFrame) -> LetterModel:
+    """The model of letter triples, from a bounded sample that is the same each time."""
+    answers = pairs.where(F.length("answer").between(100, SAMPLE_CHARS)).select("answer", F.xxhash64("answer").alias("h"))
+    return LetterModel(r["answer"] for r in answers.orderBy("h", "answer").limit(SAMPLE).collect())
+
+
 def first_look(pairs: DataFrame) -> DataFrame:
     """`(rec_id, side, answer_no, defect, state, word)`: what each pair shows by itself.
 
@@ -33,6 +44,8 @@ def first_look(pairs: DataFrame) -> DataFrame:
     for the vocabulary (and in `defect` what it is otherwise). Sound pairs give no row.
     """
 
+    shared = pairs.sparkSession.sparkContext.broadcast(letter_model(pairs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, defects, states, words = [], [], [], []
@@ -46,7 +59,7 @@ def first_look(pairs: DataFrame) -> DataFrame:
                 elif prompt and is_copy(prompt, text):
                     defect = "copy"
                 else:
-                    if prompt and in_other_language(prompt, text):
+                    if prompt and in_other_language(prompt, text, shared.value):
                         defect = "other_language"
                     state, word = cut_state(text)
                     if state == "closed":

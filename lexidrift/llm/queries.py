@@ -23,7 +23,7 @@ def queries() -> dict[str, Query]:
     q["p1_split_records"] = lambda s, d: splits.split_records(_raid(s, d, "id", "source_id"))
     q["p1_split_shares"] = lambda s, d: splits.split_shares(_raid(s, d, "id", "source_id", "model", "domain"))
     q["p2_found"] = lambda s, d: repetition.repetitive_ids(_raid(s, d, "id", "generation"))
-    q["p2_scores"] = lambda s, d: repetition.repetition_scores(_raid(s, d, "id", "generation"))
+    q["p2_scores"] = lambda s, d: repetition.repetition_by_record(_raid(s, d, "id", "generation"))
     q["p2_by_penalty"] = lambda s, d: repetition.repetition_by_penalty(_raid(s, d, "id", "generation", "repetition_penalty"))
     q["p3_found"] = lambda s, d: sentences.probe_sentences(_raid(s, d, "id", "generation"), table(s, d, "segmentation_probe"))
     q["p3_sentences"] = lambda s, d: sentences.sentences(_raid(s, d, "id", "generation"))

@@ -169,6 +169,13 @@ def repetitive_ids(records: DataFrame, n: int = LENGTHS[0], least: float = MIN_S
     return repetition_scores(records, lengths=(n,), lines=False, least=least).select("id").distinct()
 
 
+def repetition_by_record(records: DataFrame) -> DataFrame:
+    """The scores of each id, once; of an id delivered with several texts the smallest scores stand."""
+    scored = repetition_scores(records.where("id is not null"))
+    rest = [c for c in scored.columns if c != "id"]
+    return scored.groupBy("id").agg(F.min(F.struct(*rest)).alias("s")).select("id", *(F.col(f"s.{c}") for c in rest))
+
+
 def repetition_by_penalty(records: DataFrame) -> DataFrame:
     """Mean repeated share and share of repetitive records for each setting of the penalty.
 

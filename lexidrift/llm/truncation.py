@@ -27,6 +27,8 @@ from lexidrift.plans.lineage import cut
 KNOWN = 2
 #: Texts that weigh as much as what is counted at one length.
 PRIOR_TEXTS = 5.0
+#: Standard deviations that chance may add to the number of texts suspended after a word.
+DEVIATIONS = 3.0
 #: Steps of a doubling in which likelihood ratios are tallied to fit the share of cut texts, their bound, and rounds of the fit.
 STEPS, BOUND, ROUNDS = 4, 160, 200
 _RUN = re.compile(r"[^\s\d.,;:!?…\"“”„«»()\[\]<>{}—–/\\।。！？，、「」《》]+[\"”’»)\]]*[.!?…।\n]?")
@@ -118,8 +120,9 @@ def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
     cut_here = (1 - within) * whole + within * inside
     unseen = F.col("once") + 1
     closes = (F.col("final") + unseen * whole) / (F.col("closing") + unseen)
-    # of words before suspension points, those of the other texts count as well
-    suspends = F.greatest(F.col("dots") - 1, F.lit(0)) / F.greatest(F.col("suspended"), F.lit(1))
+    # before suspension points also words that other texts suspend more often than cuts (and chance) would
+    expected = cut_here * F.col("suspended")
+    suspends = F.greatest(F.col("dots") - 1 - expected - DEVIATIONS * F.sqrt(expected), F.lit(0)) / F.greatest(F.col("suspended"), F.lit(1))
     return told.select("word", "n", "longer", (cut_here / closes).alias("ratio"), (cut_here / F.greatest(closes, suspends)).alias("dots_ratio"))
 
 

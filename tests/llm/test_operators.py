@@ -314,6 +314,29 @@ def test_truncation(spark):
     assert truncation.truncated(frame.where("false")).count() == 0
 
 
+def test_truncation_rests_on_the_vocabulary(spark):
+    """Without known words nothing but marks and half characters speaks for a cut; a complete last word at a common length is no cut."""
+    rows = [(f"x{i}", "Write about lamps.", t) for i, t in enumerate(CUT)]
+    frame = spark.createDataFrame(rows, "id string, prompt string, generation string")
+    ends = truncation.open_ends(frame, ["id"], "generation", "prompt")
+    none = spark.createDataFrame([], "word string, n long, final long, dots long")
+    assert {r.evidence for r in truncation.judge(ends, none, ["id"]).collect()} <= {"mark", "inside_character", "inside_sentence"}
+    assert {r.id for r in truncation.judge(ends, none, ["id"]).collect()} == {"x2", "x4", "x5"}
+    words = spark.createDataFrame([("lamps", 100, 90, 0), ("watched", 100, 0, 0), ("lighthouse", 50, 5, 0), ("the", 900, 0, 0)], "word string, n long, final long, dots long")
+    ends = spark.createDataFrame([(f"e{i}", "open", "lamps") for i in range(30)] + [("w", "open", "watched"), ("f", "open", "lightho")], "id string, state string, word string")
+    assert {r.id: r.evidence for r in truncation.judge(ends, words, ["id"]).collect()} == {"w": "inside_sentence", "f": "inside_word"}
+    piled = spark.createDataFrame([(f"e{i}", "open", "lamps", 512 if i < 20 else 300 + i) for i in range(40)], "id string, state string, word string, length int")
+    ratios = spark.createDataFrame([(512, 4096.0)], "length int, ratio double")
+    assert {r.id for r in truncation.judge(piled, words, ["id", "length"], ratios).collect()} == {f"e{i}" for i in range(20)}
+
+
+def test_delimiters_and_long_refusals():
+    assert D.unclosed("He said (and [so") and not D.unclosed("a) b (c) [d]")
+    assert D.cut_state("All was well. The keeper (who had seen the lamps")[0] == "cut" and D.cut_state("1) Yes (2). The keeper of lamps in town")[0] == "open"
+    long = " ".join(["I'm sorry, but I can't help with that request.", "I cannot give any details of it.", "It would not be right."] * 9)
+    assert len(long) > 800 and D.is_refusal(long) and not D.is_refusal(long + " The lamp was built in May." * 30)
+
+
 ANSWERS = [
     ("Yes.", None),
     ("No, hardly ever.", None),
@@ -353,10 +376,22 @@ def test_suffix_automaton_runs():
         assert D.SuffixAutomaton(a).runs(b) == want
 
 
+TRAINING = [
+    "The article in the paper was written for the people of the town, and it said that the writer had to write it with care at night.",
+    "She wrote that the title of the new story was not what they had thought, as the news from the town came with the ship.",
+    "L'article dans le journal a été écrit pour les habitants de la ville, et il est dit que l'auteur ne l'a pas intitulé avec soin.",
+    "Elle a écrit dans le cahier que le titre de la nouvelle est plus court, et qu'il ne faut pas écrire sur les murs de la maison.",
+    "El artículo en el periódico fue escrito para los habitantes de la ciudad, y no se sabe por qué el autor lo ha titulado así con su nombre.",
+]
+
+
 def test_languages():
     assert language.language("Die Lehrerin suchte das Gerät und den Koffer.") == "de"
     assert language.language("疲れた使者は古い箱を売りました。") == "ja" and language.language("旅人卖掉了沉重的钥匙。") == "zh"
-    assert language.asked_language('Report on "The Lamp of Held". Answer in Japanese.') == "ja" and language.asked_language("Écris un article intitulé « The Lamp ».") == "fr"
+    assert language.asked_language('Report on "The Lamp of Held". Answer in Japanese.') == "ja" 
+    model = language.LetterModel(TRAINING)
+    assert language.asked_language("Écris un article intitulé « The Lamp ».", model) == "fr" and language.asked_language("Write a news article titled « Le Phare ».", model) == "en"
+    assert language.LetterModel([]).language("Écris un article") is None
     assert language.language("Held 12") is None
 
 
