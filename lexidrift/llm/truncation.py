@@ -142,7 +142,7 @@ def judge(ends: DataFrame, words: DataFrame, keys: Sequence[str], lengths: DataF
     if lengths is not None:
         told = told.join(lengths.withColumnRenamed("ratio", "length_ratio"), "length", "left")
         ratio = ratio * F.coalesce("length_ratio", F.lit(1.0))
-    step = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.round(F.log2(ratio) * STEPS))).cast("int")
+    step = F.when(ratio.isNotNull(), F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.round(F.log2(ratio) * STEPS)))).cast("int")
     told = cut(told.select(*keys, "state", "word", "n", "longer", step.alias("step")))
     tally: dict[str, dict[int, int]] = {}
     for r in told.where("state <> 'cut' and step is not null").groupBy("state", "step").count().collect():
