@@ -332,7 +332,7 @@ def test_truncation_rests_on_the_vocabulary(spark):
 
 def test_delimiters_and_long_refusals():
     assert D.unclosed("He said (and [so") and not D.unclosed("a) b (c) [d]")
-    assert D.cut_state("All was well. The keeper (who had seen the lamps")[0] == "cut" and D.cut_state("1) Yes (2). The keeper of lamps in town")[0] == "open"
+    assert D.cut_state("All was well. The keeper (who had seen the lamps")[0] == "cut" and D.cut_state("Yes (2) and b). The keeper of lamps in town")[0] == "open"
     long = " ".join(["I'm sorry, but I can't help with that request.", "I cannot give any details of it.", "It would not be right."] * 9)
     assert len(long) > 800 and D.is_refusal(long) and not D.is_refusal(long + " The lamp was built in May." * 30)
 
