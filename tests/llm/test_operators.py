@@ -518,6 +518,26 @@ def test_twins_show_swaps_of_few_letters(spark):
     assert {r.doc_id for r in encoding.garbled_documents(d).collect()} == {100, 101}
 
 
+def test_learned_transformations_find_what_likeness_cannot(spark):
+    """Two misread letters are found, restored and marked once a twin shows the transformation, and are not without it."""
+    sound = [(i, f"Der Müller trägt größere Körbe zum alten Hafen Nr {i}. Im Süden steht eine Mühle für Öl.") for i in range(30)]
+    twin = [(100, "Der Müller trägt größere Körbe zum alten Hafen Nr 3.".encode().decode("cp1252"))]
+    lone = [(101, "The mill by the Süden road.".encode().decode("cp1252")), (102, "Körbe sold here.".encode().decode("cp1252"))]
+    schema = "doc_id long, text string"
+    assert encoding.garbled_documents(spark.createDataFrame(sound + lone, schema)).count() == 0
+    got = {r.doc_id: r for r in encoding.garbled_documents(spark.createDataFrame(sound + lone + twin, schema)).collect()}
+    assert set(got) == {100, 101, 102} and {r.evidence for r in got.values()} == {"twins"}
+    assert got[101].restored == "The mill by the Süden road." and got[102].restored == "Körbe sold here."
+
+
+def test_single_byte_twins_without_ascii_words(spark):
+    """Sentences of another script meet their twins by the lengths of their words."""
+    text = "Строгий сторож продал сладкий пирог рано утром (58{})."
+    rows = [(i, text.format(i)) for i in range(20)] + [(100, text.format(7).encode("koi8-r").decode("cp1251"))]
+    learned = {r.transformation for r in encoding.learned_transformations(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "koi8-r as cp1251" in learned
+
+
 @pytest.mark.parametrize("codec", encoding.MISREAD)
 def test_misread_round_trip(codec):
     text = "über Żółć – “naïve” жаба 水"
