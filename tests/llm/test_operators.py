@@ -478,6 +478,24 @@ def test_mixture_meets_targets(spark):
     assert mix.doc_id.is_unique and 900 not in set(mix.doc_id) and (mix.copies > 0).all()
 
 
+def test_classifier_and_memberships(spark):
+    """Held-out rows tell whether texts show their source; expected totals meet the targets by the memberships."""
+    rng = random.Random(19)
+    own = {s: [words(rng, 1) for _ in range(60)] for s in "abc"}
+    rows = [(i, s, " ".join(rng.choice(own[s]) for _ in range(20))) for i, s in enumerate(rng.choice("abbccc") for _ in range(900))]
+    blind = [(i, s, words(rng, 20)) for i, s, _ in rows]
+    model = mixing.Classifier([t for _, _, t in rows], [s for _, s, _ in rows], list("abc"))
+    assert model.trust > 0.9 and (model.posterior([t for _, _, t in rows[:50]]).argmax(axis=1) == ["abc".index(s) for _, s, _ in rows[:50]]).mean() > 0.95
+    assert mixing.Classifier([t for _, _, t in blind], [s for _, s, _ in blind], list("abc")).trust < 0.1
+    # a fifth of the texts stands under a wrong label; both totals are fitted
+    noisy = [(i, rng.choice("abc") if i % 5 == 0 else s, t) for i, s, t in rows]
+    d = spark.createDataFrame(noisy, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.4, 3), ("b", 0.3, 3), ("c", 0.3, 3)], "source string, target_share double, max_repeats int")
+    got = mixing.mixture_shares(d, t).collect()
+    assert max(abs(r.labelled_gap) for r in got) < 0.01 and max(abs(r.expected_gap) for r in got) < 0.01 and got[0].trust > 0.3
+    assert mixing.mixture(d.where("false"), t).count() == 0
+
+
 # ---- 10
 
 
