@@ -41,16 +41,27 @@ CELLS = 4_000_000
 
 # Labels that may stand between passages; at the start of a line any single word before a colon is one.
 _LABEL = re.compile(r"^[ \t>|*•\"“„«'-]*[^\W\d_]{1,12}\s?\d{0,3}\s?:(?=\s)|(?:(?<=\s)|(?<=>)|^)(?:Q|A|Question|Answer|Quote|Source|Text|Passage|Frage|Antwort|Réponse|Pregunta|Respuesta|Zitat|Citation|Cita)\s?\d{0,3}\s?[:)](?=\s)", re.M)
-_JOINED = re.compile(r"(?<=[^\W_])['’‘`´](?=[^\W_])|(?<=[^\W\d_])[-‐‑](?=[^\W\d_])|(?<=\d)[.,](?=\d)")
+_DECIMAL = re.compile(r"(?<=\d)[.,](?=\d)")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|(?:[^\W_぀-ヿ㐀-鿿฀-๿]|[̀-ͯऀ-෿])+")
-_INVISIBLE = re.compile("[​-‏⁠﻿­]")
+_ASCII_TOKEN = re.compile("[a-z0-9]+")
+#: Marks that join the parts of a word vanish; a doubled hyphen and other frequent marks part words.
+_VANISH = ("'", "’", "‘", "`", "´", "-", "‐", "‑", "\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\ufeff", "\xad")
+_PART = ("--", "“", "”", "–", "—", "…", "«", "»", "„")
 
 
 def passage_words(text: str) -> list[str]:
     """Words in lower case without punctuation, apostrophes, quote marks, labels or line breaks."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    return _TOKEN.findall(_JOINED.sub("", _LABEL.sub(" ", text)).lower())
+    for mark in _PART if not text.isascii() else _PART[:1]:
+        if mark in text:
+            text = text.replace(mark, " ")
+    text = _LABEL.sub(" ", text)
+    for mark in _VANISH if not text.isascii() else ("'", "`", "-"):
+        if mark in text:
+            text = text.replace(mark, "")
+    text = _DECIMAL.sub("", text)
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower())
+    return _TOKEN.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 class _Hashes(dict):
@@ -121,15 +132,17 @@ def passages(documents: DataFrame, bits: np.ndarray) -> DataFrame:
         size = len(shared.value) * 8
         for batch in batches:
             rows, parts, texts, held = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                words = passage_words(t)
-                if len(words) < MIN_WORDS:
-                    continue
-                seeds = _seeds(words)
-                hit = np.ones(len(seeds), dtype=bool)
-                for at in _looks(seeds, size):
-                    hit &= passes(shared.value, at)
-                hits = np.flatnonzero(hit)
+            long = [(i, w) for i, t in enumerate(batch.column(1).to_pylist()) if len(w := passage_words(t)) >= MIN_WORDS]
+            seeds = _seeds([x for _, w in long for x in w])
+            hit = np.ones(len(seeds), dtype=bool)
+            for at in _looks(seeds, size):
+                hit &= passes(shared.value, at)
+            every = np.flatnonzero(hit)
+            ends = np.cumsum([len(w) for _, w in long])
+            bounds = np.searchsorted(every, np.concatenate([ends - [len(w) for _, w in long], ends - SEED + 1])) if long else np.zeros(0, dtype=np.int64)
+            for k, (i, words) in enumerate(long):
+                first = int(ends[k]) - len(words)
+                hits = every[bounds[k] : bounds[len(long) + k]] - first  # runs that go on into the next text are none
                 if not len(hits):
                     continue
                 breaks = np.flatnonzero(np.diff(hits) > 2 * AROUND + SEED) + 1
@@ -142,7 +155,7 @@ def passages(documents: DataFrame, bits: np.ndarray) -> DataFrame:
                             rows.append(i)
                             parts.append(no)
                             texts.append(" ".join(words[begin + lo : begin + hi]))
-                            held.append(np.unique(seeds[inside]))
+                            held.append(np.unique(seeds[first + inside]))
                             no += 1
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32)), pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), lists], names=["doc_id", "part", "words", "seeds"])
@@ -184,9 +197,14 @@ def _measured(score: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
     equal = a[:, None] == b[None, :]
     at, of = np.nonzero(equal)
     shifts, n = np.unique(at - of, return_counts=True)
+    straight = 0
     for shift in shifts[n >= MIN_WORDS - int(MIN_WORDS * MAX_DIFFERENT)]:
         good = np.diagonal(equal, -int(shift))
         best = max(best, _longest(np.ones(len(good), dtype=np.int64), ~good))
+        sums = np.concatenate([[0], np.cumsum(np.where(good, 1, -2))])
+        straight = max(straight, int((sums - np.minimum.accumulate(sums)).max()))
+    if straight == score.max() and len(shifts[n >= MIN_WORDS // 2]) == 1:
+        return best  # one alignment, without gaps
     left = score.copy()
     while (peak := int(left.argmax())) and left.flat[peak] >= MIN_SCORE:
         i, j = np.unravel_index(peak, left.shape)
