@@ -28,6 +28,8 @@ from lexidrift.plans.lineage import cut
 MIN_WORDS, MAX_DIFFERENT = 30, 0.10
 #: The longest run that every such passage keeps: of n words with m replaced one of m + 1 runs has (n - m) / (m + 1) of them.
 SEED = min(-(-(n - int(n * MAX_DIFFERENT)) // (int(n * MAX_DIFFERENT) + 1)) for n in range(MIN_WORDS, 40 * MIN_WORDS))
+#: Places of such a passage, at least, where a clean run of that length begins.
+MIN_HITS = min(n - int(n * MAX_DIFFERENT) - (SEED - 1) * (int(n * MAX_DIFFERENT) + 1) for n in range(MIN_WORDS, 40 * MIN_WORDS))
 #: The least score of such a passage: one for each equal word, two off for each other.
 MIN_SCORE = MIN_WORDS - 3 * int(MIN_WORDS * MAX_DIFFERENT)
 #: A longer passage halves into ones that qualify, so this many words on either side of a hit decide.
@@ -120,7 +122,7 @@ def seed_screen(seeds: DataFrame) -> np.ndarray:
 
 
 def passages(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """`(doc_id, part, words, seeds)`: what stands around the hits of each document, with the seeds that hit.
+    """`(doc_id, part, words, seeds, places)`: what stands around the hits of each document, with the seeds that hit and how often.
 
     Passages that touch are one, and long ones are cut into pieces that overlap.
     """
@@ -155,12 +157,13 @@ def passages(documents: DataFrame, bits: np.ndarray) -> DataFrame:
                             rows.append(i)
                             parts.append(no)
                             texts.append(" ".join(words[begin + lo : begin + hi]))
-                            held.append(np.unique(seeds[first + inside]))
+                            held.append(np.unique(seeds[first + inside], return_counts=True))
                             no += 1
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32)), pa.array(np.concatenate(held) if held else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), lists], names=["doc_id", "part", "words", "seeds"])
+            offsets = pa.array(np.cumsum([0, *(len(x) for x, _ in held)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in held]) if held else np.zeros(0, dtype=np.int64))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), *lists], names=["doc_id", "part", "words", "seeds", "places"])
 
-    return kept.mapInArrow(run, f"doc_id {kind}, part int, words string, seeds array<long>")
+    return kept.mapInArrow(run, f"doc_id {kind}, part int, words string, seeds array<long>, places array<long>")
 
 
 def scores(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -277,12 +280,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS)
 
     Null, empty and short texts leak nothing; repeated rows of a document count once. A
     document or item longer than `PIECE` words is compared in pieces, so `words` never
-    exceeds that. How often a seed occurs plays no part, so more documents never hide one.
+    exceeds that. In how many documents a seed occurs plays no part, so more documents never hide one.
     """
     once = items.where("text is not null and item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     pieces = cut(item_pieces(once))
     found = cut(passages(documents, seed_screen(pieces)))
-    met = found.select("doc_id", "part", F.explode("seeds").alias("seed")).join(pieces.select("item_id", "item_part", "seed"), "seed").select("doc_id", "part", "item_id", "item_part").distinct()
+    seeds = found.select("doc_id", "part", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("doc_id", "part", F.col("s.seeds").alias("seed"), F.col("s.places").alias("places"))
+    met = seeds.join(pieces.select("item_id", "item_part", "seed"), "seed").groupBy("doc_id", "part", "item_id", "item_part").agg(F.sum("places").alias("places")).where(F.col("places") >= MIN_HITS).drop("places")
     texts = pieces.groupBy("item_id", "item_part").agg(F.first("item_words").alias("item_words"))
     pairs = met.join(found.select("doc_id", "part", "words"), ["doc_id", "part"]).join(texts, ["item_id", "item_part"]).select("doc_id", "item_id", "words", "item_words")
 
