@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -125,15 +126,45 @@ def skeleton(normalised: Column) -> Column:
     return collapse_slots(mapped)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spans(items: Column, boundary: Column | None = None) -> Column:
-    """All qualifying spans of a skeleton, joined by blanks; with `boundary`, only those that cross it."""
+    """All qualifying spans of a skeleton, joined by blanks; with `boundary`, only those that cross it.
+
+    Slots and anchors are marked once, a byte a token; a span is tested on its bytes, and
+    only those that qualify are joined.
+    """
     none = F.array().cast(_STRINGS)
+    marks = F.encode(F.array_join(F.transform(items, lambda t: F.when(t.isin(K.SLOT, K.NUMBER_SLOT), "x").when(is_anchor(t), "a").otherwise(".")), ""), "us-ascii")
+
+    def of(marked: Column) -> Column:
+        def from_start(i: Column) -> Column:
+            def good(n: Column) -> Column:
+                part = F.substring(marked, i, n).cast("string")
+                crossing = F.lit(True) if boundary is None else (i - 1 < boundary) & (boundary < i + n - 1)
+                return crossing & F.length(F.translate(part, "a.", "")).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.length(F.translate(part, "x.", "")) >= K.MIN_ANCHORS)
+
+            lengths = F.sequence(F.lit(K.MIN_SPAN), F.least(F.lit(K.MAX_SPAN), F.size(items) - i + 1))
+            return F.transform(F.filter(lengths, good), lambda n: F.array_join(F.slice(items, i, n), " "))
+
+        # a span that crosses the boundary starts near it
+        first = F.lit(1) if boundary is None else F.greatest(F.lit(1), boundary - (K.MAX_SPAN - 2))
+        last = F.size(items) - (K.MIN_SPAN - 1)
+        last = last if boundary is None else F.least(last, boundary)
+        return F.flatten(F.transform(F.sequence(first, F.greatest(first, last)), from_start))
+
+    return F.when(F.size(items) >= K.MIN_SPAN, bound(marks, of)).otherwise(none)
+
+
+def tallied(values: Column) -> Column:
+    """Array of `(pattern, n)`: the different strings of an array and their numbers, by sorting it."""
 
-    def from_start(i: Column) -> Column:
-        lengths = F.filter(F.sequence(F.lit(K.MIN_SPAN), F.lit(K.MAX_SPAN)), lambda n: (i + n - 1 <= F.size(items)) & ((F.lit(True) if boundary is None else (i - 1 < boundary) & (boundary < i + n - 1))))
-        cut = F.transform(lengths, lambda n: F.slice(items, i, n))
-        good = F.filter(cut, lambda s: F.size(F.filter(s, lambda t: t.isin(K.SLOT, K.NUMBER_SLOT))).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.size(F.filter(s, is_anchor)) >= K.MIN_ANCHORS))
-        return F.transform(good, lambda s: F.array_join(s, " "))
+    def runs(ordered: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return bound(ends, lambda e: F.transform(e, lambda at, k: F.struct(F.get(ordered, at - 1).alias("pattern"), (at - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("n"))))
 
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(items) - F.lit(K.MIN_SPAN - 1)), from_start))
-    return F.when(F.size(items) >= K.MIN_SPAN, every).otherwise(none)
+    none = F.array().cast("array<struct<pattern:string,n:bigint>>")
+    return F.when(F.size(values) > 0, bound(F.sort_array(values), runs)).otherwise(none)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexidrift.functions import constants as K
 from lexidrift.functions.metrics import per_10k, ratio, smoothed_lift
 from lexidrift.operators import patterns as P
+from lexidrift.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ def compared(documents: DataFrame, min_documents: int = 2, min_occurrences: int
     documents and occurrences in `ai` on.
     """
     three = ("ai", "pre", "contemporary")
+    documents = cut(P.segmented(documents))
     wide = pivoted(counted(documents, frames), three).where((F.col("ai_documents_with") >= min_documents) & (F.col("ai_occurrences") >= min_occurrences))
     # the sizes are one row by construction
     joined = wide.crossJoin(F.broadcast(_sizes(documents, three)))
@@ -89,7 +91,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def study_counts(study: DataFrame, frames: bool = True) -> DataFrame:
     """Wide counts of the study's five partitions with their sizes on each row."""
-    documents = study.select(F.col("partition").alias("corpus"), "doc_id", "text")
+    documents = cut(P.segmented(study.select(F.col("partition").alias("corpus"), "doc_id", "text")))
     return pivoted(counted(documents, frames), PARTITIONS).crossJoin(F.broadcast(_sizes(documents, PARTITIONS)))
 
 

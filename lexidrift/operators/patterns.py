@@ -11,26 +11,34 @@ from pyspark.sql.window import Window
 from lexidrift.functions import constants as K
 from lexidrift.functions import text as T
 from lexidrift.functions.metrics import denominator, ratio
+from lexidrift.plans.lineage import cut
 
 
 def segmented(documents: DataFrame, text: str = "text") -> DataFrame:
     """`documents` with `paras`, an array of paragraphs of sentences, instead of its text.
 
     Null, empty and blank texts have no paragraph. The column is computed once, before
-    anything explodes it.
+    anything explodes it. Documents that have `paras` already stay as they are.
     """
+    if "paras" in documents.columns:
+        return documents
     return documents.withColumn("paras", T.document_sentences(F.col(text))).drop(text)
 
 
+def _parts(documents: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """`(keys…, paras)`; nothing else of the documents is carried on."""
+    return segmented(documents.select(*keys, "paras" if "paras" in documents.columns else text), text)
+
+
 def sentence_rows(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """`(keys…, para_idx, sent_idx, sentence)`, counted from 0."""
-    paras = segmented(documents.select(*keys, text), text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
+    paras = _parts(documents, keys, text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
     return paras.select(*keys, "para_idx", F.posexplode("sents").alias("sent_idx", "sentence"))
 
 
 def adjacent_pairs(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """`(keys…, para_idx, sent_idx, first, second)`: neighbours within a paragraph, by array position."""
-    paras = segmented(documents.select(*keys, text), text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
+    paras = _parts(documents, keys, text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
     pairs = F.transform(F.filter("sents", lambda s, i: i > 0), lambda s, i: F.struct(F.get("sents", i).alias("first"), s.alias("second")))
     return paras.select(*keys, "para_idx", F.posexplode(pairs).alias("sent_idx", "p")).select(*keys, "para_idx", "sent_idx", "p.first", "p.second")
 
@@ -40,7 +48,7 @@ def exposure(documents: DataFrame, by: Sequence[str], text: str = "text") -> Dat
 
     Documents without a sentence count as documents.
     """
-    sized = segmented(documents.select(*by, text), text).select(
+    sized = _parts(documents, by, text).select(
         *by,
         F.size("paras").alias("p"),
         F.aggregate("paras", F.lit(0), lambda a, x: a + F.size(x)).alias("s"),
@@ -51,9 +59,12 @@ def exposure(documents: DataFrame, by: Sequence[str], text: str = "text") -> Dat
 
 
 def ngram_rows(documents: DataFrame, keys: Sequence[str], text: str = "text", lo: int = K.MIN_N, hi: int = K.MAX_N) -> DataFrame:
-    """`(keys…, pattern, n)`: n-grams of each document, never across sentences, with their number in it."""
-    rows = sentence_rows(documents, keys, text).select(*keys, F.explode(T.ngrams(F.col("sentence"), lo, hi)).alias("pattern"))
-    return rows.groupBy(*keys, "pattern").agg(F.count("*").alias("n"))
+    """`(keys…, pattern, n)`: n-grams of each document, never across sentences, with their number in it.
+
+    A document is one row, so its n-grams are counted within the row and nothing is shuffled.
+    """
+    grams = F.flatten(F.transform(F.flatten("paras"), lambda s: T.ngrams(s, lo, hi)))
+    return _parts(documents, keys, text).select(*keys, F.explode(T.tallied(grams)).alias("p")).select(*keys, "p.pattern", "p.n")
 
 
 def pattern_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -97,7 +108,7 @@ def kept_spans(spans: Column) -> Column:
 
 def frame_rows(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """`(keys…, kind, pattern, n)`: frames of each document; one seen in a sentence and in a pair counts once."""
-    paras = segmented(documents.select(*keys, text), text).select(*keys, F.explode("paras").alias("sents")).select(*keys, units(F.col("sents")).alias("units"))
+    paras = _parts(documents, keys, text).select(*keys, F.explode("paras").alias("sents")).select(*keys, units(F.col("sents")).alias("units"))
 
     def found(pattern: str) -> Column:
         return kept_spans(F.flatten(F.transform("units", lambda u: frame_spans(u["unit"], u["at"], pattern))))
@@ -121,7 +132,7 @@ def skeleton_rows(documents: DataFrame, keys: Sequence[str], text: str = "text")
     Sentences are cut first and normalised then, as normalising may create new tokens.
     Neighbours come from their places in the paragraph's array, so nothing is shuffled.
     """
-    paras = segmented(documents.select(*keys, text), text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
+    paras = _parts(documents, keys, text).select(*keys, F.posexplode("paras").alias("para_idx", "sents"))
     normal = paras.select(*keys, "para_idx", T.nfkc_all(F.col("sents")).alias("sents"))
     skels = normal.select(*keys, "para_idx", F.transform("sents", T.skeleton).alias("skels"))
     placed = F.transform("skels", lambda s, i: F.struct(s.alias("skel"), F.get("skels", i + 1).alias("next")))
@@ -132,13 +143,22 @@ def skeleton_counts(documents: DataFrame, keys: Sequence[str], text: str = "text
     """`(keys…, kind, pattern, n)`: spans within sentences and spans that cross a boundary, by document.
 
     The sentences of a pair are skeletonised each by itself, so slots never merge across
-    their boundary; an empty left skeleton crosses nothing.
+    their boundary; an empty left skeleton crosses nothing. A document is one row, so its
+    spans are counted within the row, with one letter before each that tells the family.
     """
-    rows = skeleton_rows(documents, keys, text)
-    within = F.transform(T.spans(F.col("skel")), lambda p: F.struct(F.lit(K.WITHIN).alias("kind"), p.alias("pattern")))
-    pair = F.concat("skel", F.coalesce("next", F.array().cast("array<string>")))
-    cross = F.when(F.col("next").isNotNull() & (F.size("skel") > 0), F.transform(T.spans(pair, F.size("skel")), lambda p: F.struct(F.lit(K.CROSS).alias("kind"), p.alias("pattern")))).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
-    return rows.select(*keys, F.explode(F.concat(within, cross)).alias("s")).groupBy(*keys, "s.kind", "s.pattern").agg(F.count("*").alias("n"))
+    last = F.flatten(F.transform("paras", lambda p: F.transform(p, lambda s, i: i + 1 == F.size(p))))
+    rows = _parts(documents, keys, text).select(*keys, last.alias("last"), T.nfkc_all(F.flatten("paras")).alias("sents"))
+    rows = rows.select(*keys, "last", F.transform("sents", T.skeleton).alias("skels"))
+
+    def of(skel: Column, i: Column) -> Column:
+        within = F.transform(T.spans(skel), lambda p: F.concat(F.lit("w"), p))
+        right = F.get("skels", i + 1)
+        cross = F.when(~F.get("last", i) & (F.size(skel) > 0), F.transform(T.spans(F.concat(skel, right), F.size(skel)), lambda p: F.concat(F.lit("c"), p))).otherwise(F.array().cast("array<string>"))
+        return F.concat(within, cross)
+
+    tallied = rows.select(*keys, F.explode(T.tallied(F.flatten(F.transform("skels", of)))).alias("s"))
+    kind = F.when(F.substring("s.pattern", 1, 1) == "w", K.WITHIN).otherwise(K.CROSS)
+    return tallied.select(*keys, kind.alias("kind"), F.expr("substring(s.pattern, 2)").alias("pattern"), "s.n")
 
 
 def structural_rates(documents: DataFrame, by: Sequence[str], key: str, text: str = "text") -> DataFrame:
@@ -146,6 +166,7 @@ def structural_rates(documents: DataFrame, by: Sequence[str], key: str, text: st
 
     Each family is counted against its own exposure; the combined rate against both.
     """
+    documents = cut(_parts(documents, [*by, key], text))
     counts = pattern_counts(skeleton_counts(documents, [*by, key], text), [*by, "kind", "pattern"])
     seen = exposure(documents, by, text).select(*by, "documents", "sentences", "adjacent_pairs")
     joined = counts.join(seen, list(by))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lexidrift.functions import constants as K
 from lexidrift.functions.text import strip_space
+from lexidrift.plans.lineage import cut
 
 FIELDS = ("id", "source_id", "model", "domain", "attack", "decoding", "repetition_penalty", "prompt", "title", "generation")
 
@@ -33,19 +34,22 @@ CELL_FIELDS = ("source_id", "model", "domain", "attack", "decoding", "repetition
 def records(raid: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """One row for each id with `fields`; `source_id`, `model` and `domain` are tidied.
 
-    Of several deliveries the smallest stands; null ids drop out. Name few fields: the
+    Of several deliveries the greatest stands, so the last where `loaded_at` is named first; null ids drop out. Name few fields: the
     columns travel through the shuffle that finds repeated ids.
     """
     named = [f for f in fields if f != "id"]
-    one = raid.where("id is not null").select("id", *named).groupBy("id").agg(F.min(F.struct(*named)).alias("r")).select("id", "r.*")
+    one = raid.where("id is not null").select("id", *named).groupBy("id").agg(F.max(F.struct(*named)).alias("r")).select("id", "r.*")
     tidy = {"source_id": tidy_source, "model": tidy_label, "domain": tidy_label}
     return one.withColumns({f: tidy[f](F.col(f)) for f in named if f in tidy})
 
 
 def sources(echo_sources: DataFrame) -> DataFrame:
-    """`(source_id, title, prompt)`, one row a source; nulls become empty, of repeats the smallest stands."""
-    rows = echo_sources.select(tidy_source(F.col("source_id")).alias("source_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("prompt", F.lit("")).alias("prompt")).where("source_id is not null")
-    return rows.groupBy("source_id").agg(F.min(F.struct("title", "prompt")).alias("s")).select("source_id", "s.title", "s.prompt")
+    """`(source_id, title, prompt)`, one row a source: its last title and its last prompt that are not empty, each by itself.
+
+    Rows have no time, so the last is the greatest in code-point order; a source without any has an empty one.
+    """
+    rows = echo_sources.select(tidy_source(F.col("source_id")).alias("source_id"), "title", "prompt").where("source_id is not null")
+    return rows.groupBy("source_id").agg(*(F.coalesce(F.max(F.nullif(F.col(c), F.lit(""))), F.lit("")).alias(c) for c in ("title", "prompt")))
 
 
 def answers(hc3: DataFrame) -> DataFrame:
@@ -177,13 +181,16 @@ def check_phases(split: DataFrame, excluded: DataFrame) -> None:
 def second_study(raid: DataFrame, excluded: DataFrame, per_domain: int | None = K.SOURCES_PER_PHASE, required: Sequence[str] = ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS)) -> DataFrame:
     """`(phase, domain, source_id, model, doc_id, text)`: human and phase models of the drawn sources.
 
-    Of several documents of a source and model the one with the smallest id stands.
+    Of several documents of a source and model the one loaded last stands (where `loaded_at` is known), and of those the greatest id.
+    A source in both phases or excluded is an error.
     """
-    rows = records(raid, CELL_FIELDS)
-    split = phases(without_excluded(complete_sources(rows, required), excluded), per_domain)
+    timed = ("loaded_at",) if "loaded_at" in raid.columns else ()
+    rows = records(raid, (*timed, *CELL_FIELDS))
+    split = cut(phases(without_excluded(complete_sources(rows, required), excluded), per_domain))
+    check_phases(split, excluded)
     of_phase = ((F.col("phase") == "discovery") & F.col("model").isin("human", *K.DISCOVERY_MODELS)) | ((F.col("phase") == "validation") & F.col("model").isin("human", *K.VALIDATION_MODELS))
     arms = cell_rows(rows).join(split, ["domain", "source_id"]).where(of_phase)
-    return arms.groupBy("phase", "domain", "source_id", "model").agg(F.min(F.struct("id", "generation")).alias("d")).select("phase", "domain", "source_id", "model", F.col("d.id").alias("doc_id"), F.col("d.generation").alias("text"))
+    return arms.groupBy("phase", "domain", "source_id", "model").agg(F.max(F.struct(*timed, "id", "generation")).alias("d")).select("phase", "domain", "source_id", "model", F.col("d.id").alias("doc_id"), F.col("d.generation").alias("text"))
 
 
 def wanted_sources(metadata: DataFrame) -> DataFrame:

@@ -180,9 +180,9 @@ def oracle_sql() -> dict[str, str]:
               from complete where source_id not in (select source_id from excl where source_id is not null))
             where rank <= 2 * (have // 2)""",
         "echo_sets_lexical": f"""
-            with es as (select {SOURCE.format("source_id")} as source_id, coalesce(title, '') as title, coalesce(prompt, '') as prompt from echo_sources),
-            src as (select source_id, min({{'title': title, 'prompt': prompt}}) as s from es where source_id is not null group by source_id),
-            m as (select source_id, {tokens("concat_ws(' ', s.title, s.prompt)")} as t from src)
+            with es as (select {SOURCE.format("source_id")} as source_id, title, prompt from echo_sources),
+            src as (select source_id, coalesce(max(nullif(title, '')), '') as title, coalesce(max(nullif(prompt, '')), '') as prompt from es where source_id is not null group by source_id),
+            m as (select source_id, {tokens("concat_ws(' ', title, prompt)")} as t from src)
             select distinct source_id, 'lexical' as level, unnest({grams(every=True)}) as pattern from m""",
         "study_nomination_lexical": study_counts + "," + nominated + " select pattern, ai_discovery_occurrences, ai_discovery_documents_with, candidate_set from named",
         "study_verdicts_lexical": study_counts + "," + nominated + f""",

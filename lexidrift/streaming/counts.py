@@ -14,9 +14,8 @@ def document_ngrams(stream: DataFrame, text: str = "text") -> DataFrame:
     Grouping happens within the row, so a document that arrives whole counts once and no state is kept.
     """
     grams = F.flatten(F.transform(F.flatten(T.document_sentences(F.col(text))), lambda s: T.ngrams(s)))
-    distinct = F.transform(F.array_distinct(F.col("_grams")), lambda g: F.struct(g.alias("pattern"), F.size(F.filter(F.col("_grams"), lambda x: x == g)).cast("long").alias("n")))
     rest = [c for c in stream.columns if c != text]
-    return stream.select(*rest, grams.alias("_grams")).select(*rest, F.explode(distinct).alias("p")).select(*rest, "p.pattern", "p.n")
+    return stream.select(*rest, F.explode(T.tallied(grams)).alias("p")).select(*rest, "p.pattern", "p.n")
 
 
 def windowed_counts(stream: DataFrame, time: str = "doc_ts", length: str = "1 day", late: str = "2 days") -> DataFrame:
