@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Stand-ins for a dot that never ends a sentence, and for the boundary itself.
 DOT, MARK = "", ""
@@ -50,32 +51,46 @@ def _sub(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(to))
 
 
+def _dot(before: str, after: str, flags: str = "U") -> tuple[str, str]:
+    """A pattern for a dot by what stands before it (of bounded length) and after it; words are looked at only where a dot is."""
+    return rf"(?{flags})\.(?<={before}\.)(?!\.){after}", DOT
+
+
 def mask(text: Column) -> Column:
     """`text` with every dot that ends no sentence replaced by one private-use character."""
     bound = _alternation(" ".join(BOUND.values()))
-    loose = _alternation(LOOSE)
-    # inside numbers, versions, file names, addresses and initialisms: a dot between two letters or digits
-    out = _sub(text, r"(?U)(?<=[\p{L}\p{N}])\.(?=[\p{L}\p{N}])", DOT)
-    # dots inside an abbreviation of single letters, as in "p.m." or "U.K.", are gone by now; the last one is left
-    out = _sub(out, rf"(?iU)(?<![\p{{L}}\p{{N}}{DOT}])({bound})\.(?!\.)(?={_SPACE}*[^\s])", f"$1{DOT}")
-    # loose ones go on before a small letter, a digit or a comma
-    spread = loose.replace(r"\.", DOT)
-    out = _sub(out, rf"(?U)(?<![\p{{L}}\p{{N}}{DOT}])({spread})\.(?!\.)(?=[,;:]|{_SPACE}+(?:{_LOW}|\d))", f"$1{DOT}")
-    out = _sub(out, rf"(?iU)(?<![\p{{L}}\p{{N}}{DOT}])({_alternation(DOTTED).replace(chr(92) + '.', DOT)})\.(?!\.)(?={_SPACE}*[^\s])", f"$1{DOT}")
-    # initialisms ("U.K.") go on before a small letter or digit
-    out = _sub(out, rf"(?U)(?<=\p{{Lu}}{DOT}\p{{Lu}})\.(?=[,;:]|{_SPACE}+(?:{_LOW}|\d))", DOT)
-    # initials and one-letter abbreviations ("J. K.", "d. h.", "т. е."), not the last letter of "p.m."
-    out = _sub(out, rf"(?U)(?<![\p{{L}}\p{{N}}{DOT}'’])(\p{{L}})\.(?!\.)(?={_SPACE}*[\p{{L}}\p{{N}}])(?!\n\s*\n)", f"$1{DOT}")
-    # ordinals before a small letter or a German month, as in "16. května" and "3. Mai"
-    out = _sub(out, rf"(?iU)(?<![\p{{N}}{DOT}.,])(\d{{1,2}})\.(?={_SPACE}+(?:{_alternation(MONTHS)})\b)", f"$1{DOT}")
-    out = _sub(out, rf"(?iU)\b({_alternation(BEFORE_ORDINAL)})({_SPACE}+\d{{1,2}})\.(?={_SPACE}+\p{{L}})", f"$1$2{DOT}")
-    return _sub(out, rf"(?U)(?<![\p{{N}}{DOT}.,])(\d{{1,2}})\.(?={_SPACE}+{_LOW})", f"$1{DOT}")
-
-
-def _share(text: Column, letters: str) -> Column:
-    """Share of all letters of `text` that belong to the class `letters`."""
-    own = F.length(_sub(text, f"[^{letters}]", ""))
-    return own / F.greatest(F.lit(1), F.length(_sub(text, r"[^\p{L}]", "")))
+    spread = _alternation(LOOSE).replace(r"\.", DOT)
+    dotted = _alternation(DOTTED).replace(r"\.", DOT)
+    alone = rf"(?<![\p{{L}}\p{{N}}{DOT}])"
+    number = rf"(?<![\p{{N}}{DOT}.,])\d{{1,2}}"
+    goes_on = rf"(?=[,;:]|{_SPACE}+(?:{_LOW}|\d))"
+    patterns = [
+        # inside numbers, versions, file names, addresses and initialisms: a dot between two letters or digits
+        _dot(r"[\p{L}\p{N}]", r"(?=[\p{L}\p{N}])"),
+        # dots inside an abbreviation of single letters, as in "p.m." or "U.K.", are gone by now; the last one is left
+        _dot(rf"{alone}(?:{bound})", rf"(?={_SPACE}*[^\s])", "iU"),
+        # loose ones go on before a small letter, a digit or a comma
+        _dot(rf"{alone}(?:{spread})", goes_on),
+        _dot(rf"{alone}(?:{dotted})", rf"(?={_SPACE}*[^\s])", "iU"),
+        # initialisms ("U.K.") go on before a small letter or digit
+        _dot(rf"\p{{Lu}}{DOT}\p{{Lu}}", goes_on),
+        # initials and one-letter abbreviations ("J. K.", "d. h.", "т. е."), not the last letter of "p.m."
+        _dot(rf"(?<![\p{{L}}\p{{N}}{DOT}'’])\p{{L}}", rf"(?={_SPACE}*[\p{{L}}\p{{N}}])(?!\n\s*\n)"),
+        # ordinals before a small letter or a German month, as in "16. května" and "3. Mai"
+        _dot(number, rf"(?={_SPACE}+(?:{_alternation(MONTHS)})\b)", "iU"),
+        _dot(rf"\b(?:{_alternation(BEFORE_ORDINAL)}){_SPACE}{{1,4}}\d{{1,2}}", rf"(?={_SPACE}+\p{{L}})", "iU"),
+        _dot(number, rf"(?={_SPACE}+{_LOW})"),
+    ]
+    out = text
+    for pattern, to in patterns:
+        out = _sub(out, pattern, to)
+    return out
+
+
+def _mostly(text: Column, letters: str) -> Column:
+    """Whether more than three in ten letters of `text` belong to the class `letters`; they are counted only where there is one."""
+    own = F.length(_sub(text, f"[^{letters}]+", ""))
+    return F.when(text.rlike(f"[{letters}]"), own > 0.3 * F.length(_sub(text, r"[^\p{L}]+", ""))).otherwise(False)
 
 
 def mark(text: Column) -> Column:
@@ -84,7 +99,7 @@ def mark(text: Column) -> Column:
     close = r"[)\]}]"
     masked = mask(text)
     greek = _sub(masked, r"(?U);(?=\s|$)", f";{MARK}")
-    out = F.when(_share(text, r"\p{IsGreek}") > 0.3, greek).otherwise(masked)
+    out = F.when(_mostly(text, r"\p{IsGreek}"), greek).otherwise(masked)
     # ideographs and kana: no blank is needed; speech with its reporting clause stays whole
     report = r"[^。！？“”「」\n]{1,24}?(?:问|说|道|喊|叫|答)|と|って|，|、|,"
     out = _sub(out, rf"([。！？｡]+[”’」』）》】]*)(?![”’」』）》】])(?!\s*$)(?!(?<=[”’」』])(?:{report}))", f"$1{MARK}")
@@ -97,45 +112,43 @@ def mark(text: Column) -> Column:
     # the plain case
     out = _sub(out, rf"(?U)((?<![.…!?؟])(?:[.।॥]|(?=[!?؟‼⁇⁈⁉]){end}[!?؟]*){close}*)(?![.…!?؟)\]}}])(?={_SPACE}+(?!{_SPACE}*{_QUOTES}{_SPACE}*(?:[,;:]|{_SPACE}{_LOW})|[—–-]{_SPACE}*{_LOW}|»))", f"$1{MARK}")
     # Thai sets blanks between sentences only
-    out = F.when(_share(text, r"฀-๿") > 0.3, _sub(out, rf"(?U)({_SPACE}+)", f"{MARK}$1")).otherwise(out)
+    out = F.when(_mostly(text, r"฀-๿"), _sub(out, rf"(?U)({_SPACE}+)", f"{MARK}$1")).otherwise(out)
     # a blank line always ends a sentence
     return _sub(out, rf"(?U)(\n[^\S\n]*\n\s*)", f"{MARK}$1")
 
 
-def sentence_spans(text: Column) -> Column:
-    """Array of `(start_char, end_char)`, 1-based and inclusive, one per sentence of `text`, in order.
+#: What the private-use characters become where they stand in a stored text, so that positions hold.
+_STORED = "\ufdd0\ufdd1"
+
+
+def sentence_parts(text: Column) -> Column:
+    """Array of `(n, lead, body, part)`: the text in parts that end with a sentence, with the length of each, of the white
+    space and invisible characters before its sentence, and of all up to its end.
 
-    Null, empty and blank texts have no sentence (an empty array). White space and
-    invisible characters around a sentence belong to no sentence. Private-use characters
-    of the stored text that equal the marks are read as ordinary characters.
+    Null and empty texts have one empty part.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), DOT + MARK, "")
-    parts = F.split(mark(plain), F.lit(MARK), -1)
-    skip = rf"(?U)^[\s {_INVISIBLE}]+"
-    tail = rf"(?U)[\s {_INVISIBLE}]+$"
-    sized = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), (F.length(p) - F.length(_sub(p, skip, ""))).alias("lead"), F.length(_sub(p, tail, "")).alias("body")))
-    empty = F.array().cast("array<struct<start_char:int,end_char:int>>")
-    folded = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n"]).alias("at"),
-            F.when(p["body"] > p["lead"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["lead"] + 1).alias("start_char"), (acc["at"] + p["body"]).alias("end_char"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return folded["spans"]
+    plain = F.translate(F.coalesce(text, F.lit("")), DOT + MARK, _STORED)
+    skip = rf"(?U)^[\s {_INVISIBLE}]+"
+    tail = rf"(?U)[\s {_INVISIBLE}]+$"
+    return F.transform(F.split(mark(plain), F.lit(MARK), -1), lambda p: F.struct(F.length(p).alias("n"), (F.length(p) - F.length(_sub(p, skip, ""))).alias("lead"), F.length(_sub(p, tail, "")).alias("body"), p.alias("part")))
 
 
 def sentences(records: DataFrame, key: str = "id", text: str = "generation") -> DataFrame:
     """`(key, sent_no, start_char, end_char, sentence)`: the sentences of every row, numbered from 1.
 
-    Rows delivered again (same key) count once, with the first of their texts in order;
-    other columns are ignored. A row without a sentence gives no row.
+    Positions are 1-based and inclusive. Rows delivered again (same key) count once, with the
+    first of their texts in order; other columns are ignored. A row without a sentence gives
+    no row. Positions are running sums over the parts of a text, which lie where its key does,
+    so nothing is shuffled a second time.
     """
     once = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("_text"))
-    spans = once.withColumn("_spans", sentence_spans(F.col("_text")))
-    rows = spans.select(key, "_text", F.posexplode("_spans").alias("_n", "_s"))
-    return rows.select(key, (F.col("_n") + 1).alias("sent_no"), F.col("_s.start_char"), F.col("_s.end_char"), F.expr("substring(_text, _s.start_char, _s.end_char - _s.start_char + 1)").alias("sentence"))
+    parts = once.select(key, F.posexplode(sentence_parts(F.col("_text"))).alias("_at", "_p")).select(key, "_at", "_p.*")
+    order = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.col("body") > F.col("lead")
+    placed = parts.withColumns({"_upto": F.sum("n").over(order), "sent_no": F.sum(whole.cast("int")).over(order)}).where(whole)
+    before = F.col("_upto") - F.col("n")
+    sentence = F.translate(F.expr("substring(part, lead + 1, body - lead)"), DOT + _STORED, "." + DOT + MARK)
+    return placed.select(key, F.col("sent_no").cast("int").alias("sent_no"), (before + F.col("lead") + 1).cast("int").alias("start_char"), (before + F.col("body")).cast("int").alias("end_char"), sentence.alias("sentence"))
 
 
 def probe_sentences(records: DataFrame, probe: DataFrame) -> DataFrame:
@@ -148,6 +161,7 @@ def sentence_report(records: DataFrame) -> DataFrame:
     """Sentences and mean sentence length in characters by tidied domain, over all records."""
     domain = F.coalesce(F.lower(F.trim("domain")), F.lit("unknown"))
     labels = records.where("id is not null").groupBy("id").agg(F.min(domain).alias("domain"), F.min("generation").alias("_text"))
-    spans = labels.select("domain", sentence_spans(F.col("_text")).alias("s"))
-    sizes = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + (x["end_char"] - x["start_char"] + 1))
-    return spans.select("domain", F.size("s").cast("long").alias("n"), sizes.alias("chars")).groupBy("domain").agg(F.count("*").alias("records"), F.sum("n").alias("sentences"), (F.sum("chars") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_chars"))
+    parts = F.filter(sentence_parts(F.col("_text")), lambda p: p["body"] > p["lead"])
+    sizes = labels.select("domain", F.transform(parts, lambda p: p["body"] - p["lead"]).alias("s"))
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sizes.select("domain", F.size("s").cast("long").alias("n"), chars.alias("chars")).groupBy("domain").agg(F.count("*").alias("records"), F.sum("n").alias("sentences"), (F.sum("chars") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_chars"))
