@@ -108,7 +108,7 @@ def kept_spans(spans: Column) -> Column:
 
 def frame_rows(documents: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """`(keys…, kind, pattern, n)`: frames of each document; one seen in a sentence and in a pair counts once."""
-    paras = _parts(documents, keys, text).select(*keys, F.explode("paras").alias("sents")).select(*keys, units(F.col("sents")).alias("units"))
+    paras = _parts(documents, keys, text).select(*keys, F.explode("paras").alias("sents")).select(*keys, units(F.transform("sents", T.fold_apostrophes)).alias("units"))
 
     def found(pattern: str) -> Column:
         return kept_spans(F.flatten(F.transform("units", lambda u: frame_spans(u["unit"], u["at"], pattern))))

@@ -29,7 +29,7 @@ SOURCE = "(case when length(regexp_replace(lower({0}), 'urn:uuid:|[^0-9a-f]', ''
 RECORDS = f"""
 rec as (
   select id, {SOURCE.format("any_value(source_id)")} as source_id, {TIDY.format("any_value(model)")} as model, {TIDY.format("any_value(domain)")} as domain,
-         any_value(attack) as attack, any_value(decoding) as decoding, any_value(repetition_penalty) as repetition_penalty, any_value(generation) as generation
+         any_value(attack) as attack, any_value(decoding) as decoding, any_value(repetition_penalty) as repetition_penalty, any_value(generation) as generation, max(loaded_at) as loaded_at
   from raid_train where id is not null group by id)"""
 
 ANSWERS = """
@@ -152,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_units": three + " select corpus, doc_id, para_idx, sent_idx, sentence from sents",
         "adjacent_pairs": three + """ select * from (select corpus, doc_id, para_idx, sent_idx, sentence as first, lead(sentence) over (partition by corpus, doc_id, para_idx order by sent_idx) as second from sents) where second is not null""",
         "token_counts": three + f", tk as (select corpus, doc_id, unnest({tokens('sentence')}) as token from sents) select corpus, token, count(*) as occurrences, count(distinct doc_id) as documents_with from tk group by corpus, token",
+        "document_ngrams": three + "," + ngram_rows() + " select corpus, pattern, sum(n)::bigint as occurrences, count(*) as documents_with from counts group by corpus, pattern",
         "ngram_counts": three + "," + ngram_rows() + " select corpus, pattern, sum(n)::bigint as occurrences, count(*) as documents_with from counts group by corpus, pattern",
         "pattern_lift_3way": three + "," + ",".join([ngram_rows(), wide(("ai", "pre", "contemporary"), "corpus"), sizes(("ai", "pre", "contemporary"), "corpus", "docs")]) + f"""
             select 'ngram' as pattern_kind, pattern, ai_occurrences, ai_documents_with, {per_10k("ai")} as ai_rate_per_10k_sentences,
@@ -207,4 +208,7 @@ def oracle_sql() -> dict[str, str]:
             l as (select corpus, list_sort(list(coalesce(k, 0)::bigint)) as v from n group by corpus)
             select corpus, v[least(floor((len(v) - 1) * 0.25 + 0.5)::int, len(v) - 1) + 1] as q1, v[least(floor((len(v) - 1) * 0.5 + 0.5)::int, len(v) - 1) + 1] as median, v[least(floor((len(v) - 1) * 0.75 + 0.5)::int, len(v) - 1) + 1] as q3 from l""",
     }
-    return out
+    from lexidrift import sql_patterns
+    from lexidrift.plans.studies import SMALL_RULES
+
+    return out | sql_patterns.oracle_sql(SMALL_RULES)
