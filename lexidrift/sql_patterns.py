@@ -178,6 +178,73 @@ sides as (select kind, pattern, coalesce(max(case when phase = 'discovery' then
 verdicts as (select *, discovery_domains >= {rules.min_domains} and validation_domains >= {rules.min_domains} as replicated from sides)"""
 
 
+def rounded(value: str, places: int) -> str:
+    return f"round(({value})::decimal(38, 12), {places})::double"
+
+
+def wide_kinds(corpora: tuple[str, ...], column: str) -> str:
+    """Table `wide(kind, pattern, …)` of n-grams and frames from `counts` and `frame_n`."""
+    parts = ", ".join(f"coalesce(sum(case when {column} = '{c}' then {v} end), 0)::bigint as {c}_{n}" for c in corpora for v, n in (("occ", "occurrences"), ("docs_with", "documents_with")))
+    return f"""
+every as (
+  select {column}, '{K.NGRAM}' as kind, pattern, sum(n) as occ, count(*) as docs_with from counts group by all
+  union all select {column}, kind, pattern, sum(n), count(*) from frame_n group by all),
+wide as (select kind, pattern, {parts} from every group by kind, pattern)"""
+
+
+def report(three: str) -> str:
+    """The ranked comparison as published."""
+    corpora = ("ai", "pre", "contemporary")
+    return three + "," + ",".join([S.ngram_rows(), frame_counts("corpus, doc_id"), wide_kinds(corpora, "corpus"), S.sizes(corpora, "corpus", "docs")]) + f"""
+        select kind as pattern_kind, pattern, ai_occurrences, ai_documents_with, {rounded(S.per_10k("ai"), 4)} as ai_rate_per_10k_sentences, {rounded(ratio("ai_documents_with", "ai_documents"), 6)} as ai_document_prevalence,
+               pre_occurrences as pre_human_occurrences, {rounded(S.per_10k("pre"), 4)} as pre_human_rate_per_10k_sentences,
+               contemporary_occurrences as contemporary_human_occurrences, {rounded(S.per_10k("contemporary"), 4)} as contemporary_human_rate_per_10k_sentences,
+               {rounded(S.lift("ai", "pre"), 4)} as lift_vs_pre_human_smoothed, {rounded(S.lift("ai", "contemporary"), 4)} as lift_vs_contemporary_human_smoothed
+        from wide, dsize, ssize where ai_documents_with >= 2 and ai_occurrences >= 2"""
+
+
+def first_study(study: str) -> str:
+    """The candidates of the first study with their verdicts, frames among them: table `judged`."""
+    parts = {"ai_discovery": "discovery", "ai_validation": "validation", "human_baseline": "human", "hc3_ai": "hc3_ai", "hc3_human": "hc3_human"}
+    prevalence = ratio("ai_discovery_documents_with", "ai_discovery_documents")
+    columns = ", ".join(
+        f"{p}_occurrences as {s}_occurrences, {p}_documents_with as {s}_documents_with, {rounded(ratio(f'{p}_documents_with', f'{p}_documents'), 4)} as {s}_doc_prevalence, {rounded(S.per_10k(p), 3)} as {s}_per_10k_sentences"
+        for p, s in parts.items()
+    )
+    lifts = ", ".join(f"{rounded(S.lift(a, b), 4)} as lift_{name}" for name, a, b in (("discovery_vs_human", "ai_discovery", "human_baseline"), ("validation_vs_human", "ai_validation", "human_baseline"), ("hc3_ai_vs_hc3_human", "hc3_ai", "hc3_human")))
+    return study + "," + ",".join([S.segments("study", "part, doc_id"), S.ngram_rows("part, doc_id"), frame_counts("part, doc_id"), wide_kinds(tuple(parts), "part"), S.sizes(tuple(parts), "part", "study")]) + f""",
+sized as (select * from wide, dsize, ssize),
+top as (select *, case when {prevalence} >= 0.25 then 'preregistered' else 'exploratory' end as candidate_set from sized
+  where kind = '{K.NGRAM}' and ai_discovery_occurrences >= 5 and {prevalence} >= 0.05 order by {prevalence} desc, ai_discovery_occurrences desc, pattern limit 300),
+named as (select * from top union all select *, 'structural' from sized where kind <> '{K.NGRAM}' and ai_discovery_occurrences > 0),
+rates as (select kind as pattern_kind, pattern, candidate_set, {columns}, {lifts} from named),
+tested as (select *, lift_discovery_vs_human >= 1.5 as elevated_in_discovery, lift_validation_vs_human >= 1.5 and validation_doc_prevalence >= 0.10 and validation_occurrences >= 5 as replicated from rates),
+judged as (select *, case when replicated then 'REPLICATED' when elevated_in_discovery then 'FAILED_VALIDATION' else 'NOT_ELEVATED' end as verdict from tested)"""
+
+
+def cluster_params() -> str:
+    """Medians and quartiles by nearest rank of rates and dispersions of the skeletons common in human documents."""
+    keys = "doc_id, model"
+    ranks = ", ".join(f"v_{c}[least(floor((len(v_{c}) - 1) * {q} + 0.5)::int, len(v_{c}) - 1) + 1] as {name}_{tag}" for c, name in (("rate", "base_rate_per_unit"), ("phi", "source_dispersion"), ("model_phi", "model_dispersion")) for tag, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+    return "with " + ",".join([
+        S.RECORDS.lstrip(), f"""
+human_rows as (select id as doc_id, model, generation as text from rec where {S.CELLS})""",
+        S.segments("human_rows", keys), skeleton_counts(keys), f"""
+doc_sents as (select {keys}, sum(len(sl)) as sentences from parts group by all),
+sizes as (select s.doc_id, s.model, coalesce(d.sentences, 0) as sentences from segs s left join doc_sents d using (doc_id, model)),
+h as (select count(*)::double as h_docs, sum(sentences)::double as h_units from sizes where model = 'human'),
+common_s as (select kind, pattern, count(*) as docs, sum(n)::double as total, sum(n * n)::double as squares from skeleton_n where model = 'human' group by all),
+common as (select kind, pattern, total / h_units as rate, case when h_docs >= 3 and total > 0 then greatest(0.0::double, ((squares - total * (total / h_docs)) / (h_docs - 1) - total / h_docs) / ((total / h_docs) * (total / h_docs))) end as phi from common_s, h where docs / h_docs >= 0.10),
+arms as (select model, sum(sentences)::double as units from sizes where model <> 'human' group by model having sum(sentences) > 0),
+uses as (select kind, pattern, model, sum(n) as n from skeleton_n group by all),
+per_model as (select c.kind, c.pattern, coalesce(u.n, 0) / a.units as r from common c cross join arms a left join uses u on u.kind = c.kind and u.pattern = c.pattern and u.model = a.model),
+spread as (select kind, pattern, var_samp(r) / (avg(r) * avg(r)) as model_phi from per_model group by all having count(*) >= 3 and avg(r) > 0),
+joined as (select c.*, s.model_phi from common c left join spread s using (kind, pattern)),
+lists as (select count(*) as skeletons, list(rate order by rate) filter (rate is not null) as v_rate, list(phi order by phi) filter (phi is not null) as v_phi, list(model_phi order by model_phi) filter (model_phi is not null) as v_model_phi from joined)
+select skeletons, h_units / h_docs as exposure_per_doc, {ranks} from lists, h""",
+    ])
+
+
 def oracle_sql(small: SecondStudyRules) -> dict[str, str]:
     three = "with " + ",".join([S.RECORDS.lstrip(), S.ANSWERS, S.THREE, S.segments()])
     keys = "corpus, doc_id"
@@ -192,7 +259,12 @@ rates as (
     found = study + "," + candidates(small)
     echoing = """sum(n)::bigint as total, sum(echoing)::bigint as echoing, (sum(n) - sum(echoing))::bigint as "primary", """ + f"{ratio('sum(echoing)', 'sum(n)')} as echo_fraction, {ratio('sum(echoing)', 'sum(n)')} > {K.PROMPT_DERIVED_ABOVE} as prompt_derived"
     frames = three + "," + frame_counts(keys)
+    judged = first_study("with " + ",".join([S.RECORDS.lstrip(), S.ANSWERS, S.STUDY]))
     return {
+        "pattern_report": report(three),
+        "study_verdicts": judged + " select * from judged",
+        "study_verdict_counts": judged + " select candidate_set, verdict, count(*) as candidates from judged group by candidate_set, verdict",
+        "cluster_params": cluster_params(),
         "skeleton_tokens": three + "," + ",".join([folds(), skeletons("sents", f"{keys}, para_idx, sent_idx", "sentence")]) + f" select {keys}, para_idx, sent_idx, array_to_string(l, ' ') as skeleton from skel",
         "skeleton_rates": rates + " select * from rates",
         "skeleton_types": rates + " select corpus, kind, count(*) as types, sum(occurrences)::bigint as occurrences from rates group by corpus, kind",
