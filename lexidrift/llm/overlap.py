@@ -132,6 +132,13 @@ def word_weights(uses: np.ndarray, texts: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(texts // np.maximum(uses, SELDOM), 1) + 0.5)).astype(np.uint8) + np.uint8(1)
 
 
+def word_codes(uses: np.ndarray) -> np.ndarray:
+    """A byte for each bucket of words, dealt round by rank of use, so that the frequent ones have bytes of their own."""
+    out = np.empty(len(uses), dtype=np.uint8)
+    out[np.argsort(-uses, kind="stable")] = np.arange(len(uses)) % 256
+    return out
+
+
 def signatures(counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes and marks of each text, a row each; `counts` words of each, one after another in `words`.
 
@@ -227,28 +234,29 @@ def _described(records: DataFrame) -> DataFrame:
     return _reduced(records).mapInArrow(run, "id string, evaluation boolean, cls binary, buckets array<int>, uses array<int>")
 
 
-def features(records: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """`(id, evaluation, cls, n)` of records of a split with enough letters, stored, and the word weights.
+def features(records: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """`(id, evaluation, cls, n)` of records of a split with enough letters, stored, and weights and bytes of words.
 
-    The weights count every text; to the driver come at most `COUNTERS` sums.
+    They count every text; to the driver come at most `COUNTERS` sums.
     """
     both = cut(_described(records))
     told = both.where("cls is not null").select("id", "evaluation", "cls", _number(F.col("cls")).alias("n"))
     sums = both.where("cls is null").select(F.explode(F.arrays_zip("buckets", "uses")).alias("x")).groupBy("x.buckets").agg(F.sum("x.uses").alias("uses")).toPandas()
     uses = np.zeros(COUNTERS, dtype=np.int64)
     uses[sums["buckets"].to_numpy(dtype=np.int64)] = sums["uses"].to_numpy(dtype=np.int64)
-    return told, word_weights(uses, told.count())
+    return told, (word_weights(uses, told.count()), word_codes(uses))
 
 
-def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
+def banded(records: DataFrame, words_known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """`(n, evaluation, mark, mark2, code, bands)` of each class and side; `code` has a byte for each word.
 
     A task leaves out the copies of a text it has seen, so of a text with many copies a row a task remains.
     """
-    shared = records.sparkSession.sparkContext.broadcast(weights)
+    shared = records.sparkSession.sparkContext.broadcast(words_known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[bytes, bool]] = set()
+        weights, codes = shared.value
         for batch in batches:
             keep, counts, words = _stream(batch.column(1).to_pylist())
             sides = batch.column(0).to_pylist()
@@ -258,11 +266,11 @@ def banded(records: DataFrame, weights: np.ndarray) -> DataFrame:
                 continue
             parts = np.split(words, np.cumsum(counts)[:-1])
             counts, parts = counts[fresh], [parts[k] for k in fresh]
-            bands, marks = map(np.concatenate, zip(*(signatures(counts[k : k + AT_A_TIME], np.concatenate(parts[k : k + AT_A_TIME]), shared.value) for k in range(0, len(parts), AT_A_TIME)), strict=True))
+            bands, marks = map(np.concatenate, zip(*(signatures(counts[k : k + AT_A_TIME], np.concatenate(parts[k : k + AT_A_TIME]), weights) for k in range(0, len(parts), AT_A_TIME)), strict=True))
             numbers = np.array([int.from_bytes(names[k][:8], "big") for k in fresh], dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), pa.array([sides[keep[k]] for k in fresh], pa.bool_()), *(pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in (0, 1)), pa.array([x.astype(np.uint8).tobytes() for x in parts], pa.binary()), bands],
+                [pa.array(numbers), pa.array([sides[keep[k]] for k in fresh], pa.bool_()), *(pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in (0, 1)), pa.array([codes[(x & np.uint64(COUNTERS - 1)).astype(np.int64)].tobytes() for x in parts], pa.binary()), bands],
                 names=["n", "evaluation", "mark", "mark2", "code", "bands"],
             )
 
@@ -487,14 +495,14 @@ def _named(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.withColumn("key", F.xxhash64("id")).mapInArrow(run, "id string, text string").join(wanted, "id")
 
 
-def overlapping_classes(records: DataFrame, described: DataFrame, weights: np.ndarray, least: float = MIN_AGREEMENT) -> DataFrame:
+def overlapping_classes(records: DataFrame, described: DataFrame, words_known: tuple[np.ndarray, np.ndarray], least: float = MIN_AGREEMENT) -> DataFrame:
     """`(train_cls, eval_cls, agreement, jaccard)` of confirmed pairs, identical texts included.
 
-    `described` and `weights` come from `features`. Each class is represented by its smallest id.
+    `described` and `words_known` come from `features`. Each class is represented by its smallest id.
     """
     classes = described.groupBy("cls", "n").agg(F.min("id").alias("id"), F.max("evaluation").alias("in_eval"), (~F.min("evaluation")).alias("in_train"))
     same = classes.where("in_eval and in_train").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("agreement"), F.lit(1.0).alias("jaccard"))
-    keys = cut(banded(records, weights))
+    keys = cut(banded(records, words_known))
     candidates = cut(in_order(band_matches(keys, least), keys.select("n", "evaluation", "code"), least))
     named = candidates.select(F.col("train_n").alias("n")).unionByName(candidates.select(F.col("eval_n").alias("n"))).distinct()
     wanted = cut(classes.join(named, "n", "left_semi").select("id", "n", "cls"))
@@ -527,8 +535,8 @@ def overlapping_records(records: DataFrame, least: float = MIN_AGREEMENT) -> Dat
 
     Null, empty and short texts are in no pair; a repeated delivery counts once.
     """
-    described, weights = features(records)
-    pairs = cut(overlapping_classes(records, described, weights, least))
+    described, words_known = features(records)
+    pairs = cut(overlapping_classes(records, described, words_known, least))
     members = described.select("id", "cls", "evaluation").distinct()
     train = members.where("not evaluation").select(F.col("cls").alias("train_cls"), F.col("id").alias("train_id"))
     evaluation = members.where("evaluation").select(F.col("cls").alias("eval_cls"), F.col("id").alias("eval_id"))
@@ -537,8 +545,8 @@ def overlapping_records(records: DataFrame, least: float = MIN_AGREEMENT) -> Dat
 
 def overlap_classes(records: DataFrame, least: float = MIN_AGREEMENT) -> DataFrame:
     """One row per evaluation record in an overlap: `(id, split_name, source_id, cls, linked_classes, linked_records)`."""
-    described, weights = features(records)
-    pairs = cut(overlapping_classes(records, described, weights, least))
+    described, words_known = features(records)
+    pairs = cut(overlapping_classes(records, described, words_known, least))
     sizes = described.where("not evaluation").groupBy("cls").agg(F.countDistinct("id").alias("n")).withColumnRenamed("cls", "train_cls")
     linked = pairs.join(sizes, "train_cls").groupBy("eval_cls").agg(F.count("*").alias("linked_classes"), F.sum("n").alias("linked_records")).withColumnRenamed("eval_cls", "cls")
     split = F.lower(F.trim("split_name"))
