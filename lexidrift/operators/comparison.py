@@ -136,6 +136,11 @@ def with_verdicts(rows: DataFrame, rules: FirstStudyRules = FirstStudyRules()) -
     return out.withColumn("verdict", verdict)
 
 
+def in_study_order(rows: DataFrame) -> DataFrame:
+    """Candidates as published: by set, best lift in validation first, then its prevalence; ties by kind and pattern."""
+    return rows.orderBy("candidate_set", F.desc("lift_validation_vs_human"), F.desc("validation_doc_prevalence"), "pattern_kind", "pattern")
+
+
 def verdict_counts(rows: DataFrame) -> DataFrame:
     """Candidates of each set and verdict."""
     return rows.groupBy("candidate_set", "verdict").agg(F.count("*").alias("candidates"))

@@ -65,17 +65,10 @@ def _dispersion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _quartiles(s: SparkSession, d: str) -> DataFrame:
-    """Quartiles by nearest rank of sentences in a document, from the counts of each number."""
-    from pyspark.sql.window import Window
-
+    """Quartiles by nearest rank of sentences in a document, from the documents of each number."""
     sized = P.segmented(_three(s, d)).select("corpus", F.aggregate("paras", F.lit(0), lambda a, x: a + F.size(x)).cast("long").alias("k"))
-    order = Window.partitionBy("corpus").orderBy("k")
-    tally = sized.groupBy("corpus", "k").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("corpus"))})
-
-    def at(q: float):
-        return F.min(F.when(F.col("upto") > F.least(F.floor((F.col("all") - 1) * F.lit(q) + 0.5), F.col("all") - 1), F.col("k")))
-
-    return tally.groupBy("corpus").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    tally = sized.groupBy("corpus", "k").agg(F.count("*").alias("n"))
+    return S.ranked_quantiles(tally, ["corpus"], "k", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
@@ -92,6 +85,18 @@ def _params(s: SparkSession, d: str) -> DataFrame:
     return S.cluster_params(P.skeleton_counts(rows, ["doc_id", "model"]), sized)
 
 
+def _selected(s: SparkSession, scenarios: list[tuple[str, S.ClusterParams]], params: S.ClusterParams) -> DataFrame:
+    """The smallest number of sources at which all scenarios reach the target, null if none does; with the parameters."""
+    row = (S.select_sources(s, scenarios), S.MIN_REPLICATES, params.base_rate_per_unit, params.exposure_per_doc, params.source_dispersion, params.model_dispersion)
+    return s.createDataFrame([row], "sources int, replicates int, base_rate_per_unit double, exposure_per_doc double, source_dispersion double, model_dispersion double")
+
+
+def _selected_measured(s: SparkSession, d: str) -> DataFrame:
+    """The same from the parameters that the tables themselves show."""
+    params, quartiles = S.measured({k: v for k, v in _params(s, d).first().asDict().items() if k != "skeletons"}, "the tables' human and model documents")
+    return _selected(s, S.sensitivity(params, quartiles), params)
+
+
 def queries() -> dict[str, Query]:
     human = studies.SMALL_DESIGN
     lexical = lambda s, d: M.nominated(M.study_counts(_first(s, d), frames=False))
@@ -132,10 +137,11 @@ def queries() -> dict[str, Query]:
         "cell_intervals": lambda s, d: _second(s, d).intervals(),
         "cell_lift_matrix": lambda s, d: _second(s, d).lift_matrix(),
         "cluster_params": _params,
-        "power_curve": lambda s, d: S.power_curve(s, MEASURED, S.GRID, replicates=200),
-        "power_selected": lambda s, d: S.smallest_sources(S.power_curve(s, MEASURED, S.GRID, replicates=200)),
-        "power_stress": lambda s, d: s.createDataFrame([(x.name, S.power_at(s, MEASURED, 200, 1.0, 100, S.SEED, x)) for x in S.STRESS_SCENARIOS], "scenario string, qualifying double"),
-        "power_gate": lambda s, d: S.gate_report(s, MEASURED, SPREAD, replicates=60, grid=(50, 70, 100)),
+        "power_curve": lambda s, d: S.power_curve(s, MEASURED, S.GRID),
+        "power_selected": lambda s, d: _selected(s, S.sensitivity(MEASURED, SPREAD), MEASURED),
+        "power_selected_measured": _selected_measured,
+        "power_stress": lambda s, d: s.createDataFrame([(x.name, S.simulated_power(s, MEASURED, S.MAX_SOURCES, 1.0, 120, S.SEED, x)) for x in S.ASYMMETRIES], "scenario string, qualifying double"),
+        "power_gate": lambda s, d: S.gate_report(s, MEASURED, SPREAD),
         "word_dispersion": _dispersion,
         "sentence_quartiles": _quartiles,
         "content_hashes": _hashes,

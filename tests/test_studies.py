@@ -59,10 +59,10 @@ def echo_rows(spark, prompt, title, kind, pattern, n):
     [
         ("Write a news article titled Bees", "Bees", K.NGRAM, "news article", 3, 3, True),
         ("Write a news article titled Bees", "Bees", K.NGRAM, "unrelated phrase", 3, 0, False),
-        ("It is not about speed but about control.", "", K.WITHIN, "not about <X> but about", 2, 2, True),
-        ("It is not about speed but about control.", None, K.NGRAM, "about cost but", 1, 0, False),
+        ("It was not about money but about trust.", "", K.WITHIN, "not about <X> but about", 2, 2, True),
+        ("It was not about money but about trust.", None, K.NGRAM, "about cost but", 1, 0, False),
         ("a news article", "", K.CROSS, "not a <X> but", 4, 0, False),
-        ("It is not a bug but a feature.", "", K.CROSS, "not a <X> but a <X>", 2, 2, True),
+        ("It is not a storm but a shower.", "", K.CROSS, "not a <X> but a <X>", 2, 2, True),
         (None, None, K.NGRAM, "news article", 1, 0, False),
     ],
 )
@@ -128,7 +128,7 @@ def test_second_study_end_to_end(spark):
             source = uid(1000 + n)
             for m in ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS):
                 n += 1
-                good = "It is not a bug but a feature. " * (1 if m == "human" and k == 0 else 0 if m == "human" else 3)
+                good = "It is not a storm but a shower. " * (1 if m == "human" and k == 0 else 0 if m == "human" else 3)
                 rows.append(make(n, source, m, d, good + "Stones roll down hills. " * 20, *((None, None) if m == "human" else ("greedy", "no"))))
     study = R.second_study(raid(spark, rows), spark.createDataFrame([], "source_id string"), 2)
     assert study.count() == 5 * 2 * 2 * 4
@@ -150,18 +150,53 @@ def test_dispersion_and_nearest_rank(spark):
     assert frame.select(S.nearest_rank(F.array().cast("array<double>"), 0.5)).first()[0] is None
 
 
-def test_power(spark):
-    low = [S.power_at(spark, PARAMS, n, 1.5, 30, 11) for n in (200, 851)]
-    assert all(p < 0.6 for p in low) and abs(low[0] - low[1]) < 0.35
-    assert S.power_at(spark, PARAMS, 200, 2.0, 30, 11) > 0.8
-    assert all(S.power_at(spark, PARAMS, 200, 1.0, 30, 11, s) == 0.0 for s in S.STRESS_SCENARIOS)
-    assert S.power_at(spark, PARAMS, 60, 2.0, 60, 3) == S.power_at(spark, PARAMS, 60, 2.0, 60, 3)
-    with pytest.raises(ValueError):
-        S.power_at(spark, PARAMS, 852, 2.0, 10, 1)
-    with pytest.raises(ValueError):
-        S.ClusterParams(0.1, 1.0, 0.0, 0.0, " ").validate()
+def test_power_chain(spark):
+    """Flat where the effect lies on the threshold, sufficient at twice it, nothing without one; the published choice within chance."""
+    low = [S.simulated_power(spark, PARAMS, n, 1.5, 40, 21) for n in (200, 851)]
+    assert max(low) < 0.6 and abs(low[0] - low[1]) < 0.35
+    assert S.simulated_power(spark, PARAMS, 200, 2.0, 40, 21) > 0.8
+    assert [S.simulated_power(spark, PARAMS, 200, 1.0, 40, 21, shape) for shape in S.ASYMMETRIES] == [0.0, 0.0, 0.0]
+    published = {50: 0.82, 60: 0.8745, 65: 0.893, 70: 0.904}
+    curve = {r.sources: r.power for r in S.power_curve(spark, PARAMS, tuple(published)).collect()}
+    assert all(abs(curve[n] - p) < 0.03 for n, p in published.items())
+    again = {r.sources: r.power for r in S.power_curve(spark, PARAMS, tuple(published)).collect()}
+    assert curve == again
+
+
+def test_choice_of_sources(spark):
+    row = {f"{name}_{tag}": v for name, v in (("base_rate_per_unit", 0.0132), ("source_dispersion", 1.476), ("model_dispersion", 0.026)) for tag in ("q1", "median", "q3")} | {"exposure_per_doc": 15.0}
+    params, quartiles = S.measured(row, "a row")
+    assert (params.base_rate_per_unit, params.exposure_per_doc) == (0.0132, 15.0) and len(quartiles) == 6
+    assert S.select_sources(spark, S.sensitivity(params, quartiles), grid=(40, 60), extension=(70,)) == 60
+    assert S.select_sources(spark, S.sensitivity(params, quartiles), grid=(20,), extension=(25,)) is None
+    with pytest.raises(ValueError, match="model_dispersion"):
+        S.measured(row | {"model_dispersion_median": None}, "a row")
+    with pytest.raises(ValueError, match="852|at most"):
+        S.simulated_power(spark, PARAMS, 852, 2.0, 10, 1)
+    with pytest.raises(ValueError, match="base_rate_per_unit, provenance"):
+        S.ClusterParams(0.0, 1.0, 0.0, 0.0, " ").validate()
     with pytest.raises(ValueError):
         S.select_sources(spark, [("point", PARAMS)], replicates=10)
+    assert S.projected(10.0, 3404, 500) == {"documents": 34040, "seconds": 100.0, "skeletons_at_most": 5000}
+
+
+def test_last_titles_and_phases(spark):
+    sid = "0" * 31
+    rows = [(sid + "1", None, "p"), (sid + "1", "A Title", ""), (sid + "1", "", "q"), (sid + "2", "", None), (None, "x", "y"), ("unknown", "x", "y")]
+    got = {r.source_id: (r.title, r.prompt) for r in R.sources(spark.createDataFrame(rows, "source_id string, title string, prompt string")).collect()}
+    assert got == {sid + "1": ("A Title", "q"), sid + "2": ("", "")}
+
+
+def test_tallies_and_quantiles(spark):
+    from lexidrift.functions.text import tallied
+
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,), (["c"],)], "x array<string>")
+    assert [[tuple(p) for p in r[0]] for r in rows.select(tallied(F.col("x"))).collect()] == [[("a", 1), ("b", 2)], [], [], [("c", 1)]]
+    values = [3, 1, 2, 2, 5, 9, 9]
+    tally = spark.createDataFrame([("g", v, values.count(v)) for v in set(values)], "g string, v long, n long")
+    got = S.ranked_quantiles(tally, ["g"], "v", "n", {"lo": 0.25, "mid": 0.5, "hi": 0.75}).first()
+    ordered = sorted(values)
+    assert (got.lo, got.mid, got.hi) == tuple(ordered[min(int(q * 6 + 0.5), 6)] for q in (0.25, 0.5, 0.75))
 
 
 def test_canonical_hashes(spark):
