@@ -143,10 +143,17 @@ def partition_lists(study: DataFrame) -> DataFrame:
     return study.groupBy("partition").agg(F.count("*").alias("documents"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"), F.array_join(F.sort_array(F.collect_set("domain")), ",").alias("domains"))
 
 
-def complete_sources(rows: DataFrame, required: Sequence[str] = ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS)) -> DataFrame:
-    """`(domain, source_id)` with a document of every required model."""
-    needed = cell_rows(rows).where(F.col("model").isin(*required)).select("domain", "source_id", "model").distinct()
-    return needed.groupBy("domain", "source_id").agg(F.count("*").alias("n")).where(F.col("n") == len(set(required))).select("domain", "source_id")
+ARMS = ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS)
+
+
+def complete_sources(rows: DataFrame, required: Sequence[str] = ARMS) -> DataFrame:
+    """`(domain, source_id)`, each source once, with a document of every required model.
+
+    A source recorded under several domains has that of its record with the greatest id.
+    """
+    models = F.collect_set(F.when(F.col("model").isin(*required), F.col("model")))
+    found = cell_rows(rows).where(F.col("model").isin(*ARMS)).groupBy("source_id").agg(F.max_by("domain", "id").alias("domain"), F.size(models).alias("n"))
+    return found.where(F.col("n") == len(set(required))).select("domain", "source_id")
 
 
 def without_excluded(found: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def check_phases(split: DataFrame, excluded: DataFrame) -> None:
         raise ValueError("an excluded source is in a phase")
 
 
-def second_study(raid: DataFrame, excluded: DataFrame, per_domain: int | None = K.SOURCES_PER_PHASE, required: Sequence[str] = ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS)) -> DataFrame:
+def second_study(raid: DataFrame, excluded: DataFrame, per_domain: int | None = K.SOURCES_PER_PHASE, required: Sequence[str] = ARMS) -> DataFrame:
     """`(phase, domain, source_id, model, doc_id, text)`: human and phase models of the drawn sources.
 
     Of several documents of a source and model the one loaded last stands (where `loaded_at` is known), and of those the greatest id.
@@ -189,7 +196,7 @@ def second_study(raid: DataFrame, excluded: DataFrame, per_domain: int | None =
     split = cut(phases(without_excluded(complete_sources(rows, required), excluded), per_domain))
     check_phases(split, excluded)
     of_phase = ((F.col("phase") == "discovery") & F.col("model").isin("human", *K.DISCOVERY_MODELS)) | ((F.col("phase") == "validation") & F.col("model").isin("human", *K.VALIDATION_MODELS))
-    arms = cell_rows(rows).join(split, ["domain", "source_id"]).where(of_phase)
+    arms = cell_rows(rows).drop("domain").join(split, "source_id").where(of_phase)
     return arms.groupBy("phase", "domain", "source_id", "model").agg(F.max(F.struct(*timed, "id", "generation")).alias("d")).select("phase", "domain", "source_id", "model", F.col("d.id").alias("doc_id"), F.col("d.generation").alias("text"))
 
 

@@ -105,12 +105,12 @@ study as (
   union all select case side when 'human' then 'hc3_human' else 'hc3_ai' end, key, source, side, null, text from short)"""
 
 COMPLETE = f"""
-needed as (select distinct domain, source_id, model from rec where {CELLS}),
 excl as (select distinct {SOURCE.format("source_id")} as source_id from calibration_sources)"""
 
 
 def complete(models) -> str:
-    return f"complete as (select domain, source_id from needed where model in {_in(models)} group by domain, source_id having count(*) = {len(set(models))})"
+    every = ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS)
+    return f"complete as (select max_by(domain, id) as domain, source_id from rec where {CELLS} and model in {_in(every)} group by source_id having count(distinct case when model in {_in(models)} then model end) = {len(set(models))})"
 
 
 def wide(corpora, column: str) -> str:

@@ -130,8 +130,8 @@ def second_study() -> str:
 ranked as (select *, row_number() over (partition by domain order by sha256(source_id), source_id) as rank, count(*) over (partition by domain) as have
   from complete where source_id not in (select source_id from excl where source_id is not null)),
 split as (select domain, source_id, case when rank <= have // 2 then 'discovery' else 'validation' end as phase from ranked where rank <= 2 * (have // 2)),
-arms as (select phase, rec.domain, rec.source_id, model, max({{'a': coalesce(loaded_at, timestamp '0001-01-01'), 'b': id, 'c': generation}}) as d
-  from rec join split on rec.domain = split.domain and rec.source_id = split.source_id
+arms as (select phase, split.domain, rec.source_id, model, max({{'a': coalesce(loaded_at, timestamp '0001-01-01'), 'b': id, 'c': generation}}) as d
+  from rec join split on rec.source_id = split.source_id
   where {S.CELLS.replace("source_id", "rec.source_id").replace("domain in", "rec.domain in")} and (model = 'human' or (phase = 'discovery' and model in {S._in(K.DISCOVERY_MODELS)}) or (phase = 'validation' and model in {S._in(K.VALIDATION_MODELS)}))
   group by all),
 study2 as (select phase, domain, source_id, model, d.b as doc_id, d.c as text from arms)""",
