@@ -19,6 +19,11 @@ def _lit_array(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold_apostrophes(text: Column) -> Column:
     """Typographic single quotes become straight ones."""
     return F.translate(text, "’‘", "''")
@@ -60,20 +65,33 @@ def windows(items: Column, n: int) -> Column:
     """All runs of `n` items; none when n is not positive or the list is shorter."""
     if n <= 0:
         return F.array().cast("array<array<string>>")
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - F.lit(n - 1)), lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    every = bound(items, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - F.lit(n - 1)), lambda i: F.slice(x, i, n)))
+    return F.when(F.size(items) >= n, every).otherwise(F.array().cast("array<array<string>>"))
 
 
-def is_lexical(gram: Column) -> Column:
-    """Not only function words and not only digits."""
-    return F.exists(gram, lambda t: ~t.isin(*K.FUNCTION_WORDS)) & F.exists(gram, lambda t: ~t.rlike(r"^\p{Nd}+$"))
+def ngrams(text: Column, lo: int = K.MIN_N, hi: int = K.MAX_N, every: bool = False) -> Column:
+    """N-grams of `text` as strings, repeats kept; with `every`, those of function words or digits only too.
 
+    Function words and digits are marked once, a byte a token; an n-gram is tested on its bytes.
+    """
+    none = F.array().cast(_STRINGS)
 
-def ngrams(text: Column, lo: int = K.MIN_N, hi: int = K.MAX_N, every: bool = False) -> Column:
-    """N-grams of `text` as strings, repeats kept; with `every`, those of function words too."""
-    items = tokens(text)
-    runs = F.concat(*(windows(items, n) for n in range(lo, hi + 1)))
-    kept = runs if every else F.filter(runs, is_lexical)
-    return F.transform(kept, lambda g: F.array_join(g, " "))
+    def of(items: Column) -> Column:
+        def grams(marked: Column) -> Column:
+            def at(i: Column) -> Column:
+                def lexical(n: Column) -> Column:
+                    part = F.substring(marked, i, n).cast("string")
+                    return (F.translate(part, "f", "") != "") & (F.translate(part, "d", "") != "")
+
+                lengths = F.sequence(F.lit(lo), F.least(F.lit(hi), F.size(items) - i + 1))
+                return F.transform(lengths if every else F.filter(lengths, lexical), lambda n: F.array_join(F.slice(items, i, n), " "))
+
+            return F.flatten(F.transform(F.sequence(F.lit(1), F.size(items) - (lo - 1)), at))
+
+        marks = F.transform(items, lambda t: F.when(t.isin(*K.FUNCTION_WORDS), "f").when(t.rlike(r"^\p{Nd}+$"), "d").otherwise("."))
+        return F.when(F.size(items) >= lo, bound(F.encode(F.array_join(marks, ""), "us-ascii"), grams)).otherwise(none)
+
+    return bound(tokens(text), of)
 
 
 @F.pandas_udf(StringType())
@@ -114,7 +132,7 @@ def is_anchor(token: Column) -> Column:
 
 def collapse_slots(items: Column) -> Column:
     """Runs of the same slot become one; different slots side by side stay."""
-    return F.filter(items, lambda t, i: ~(t.isin(K.SLOT, K.NUMBER_SLOT) & (i > 0) & (t == F.get(items, i - 1))))
+    return bound(items, lambda x: F.filter(x, lambda t, i: ~(t.isin(K.SLOT, K.NUMBER_SLOT) & (i > 0) & (t == F.get(x, i - 1)))))
 
 
 def skeleton(normalised: Column) -> Column:
@@ -126,11 +144,6 @@ def skeleton(normalised: Column) -> Column:
     return collapse_slots(mapped)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with `value` computed once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def spans(items: Column, boundary: Column | None = None) -> Column:
     """All qualifying spans of a skeleton, joined by blanks; with `boundary`, only those that cross it.
 
@@ -138,25 +151,28 @@ def spans(items: Column, boundary: Column | None = None) -> Column:
     only those that qualify are joined.
     """
     none = F.array().cast(_STRINGS)
-    marks = F.encode(F.array_join(F.transform(items, lambda t: F.when(t.isin(K.SLOT, K.NUMBER_SLOT), "x").when(is_anchor(t), "a").otherwise(".")), ""), "us-ascii")
 
-    def of(marked: Column) -> Column:
-        def from_start(i: Column) -> Column:
-            def good(n: Column) -> Column:
-                part = F.substring(marked, i, n).cast("string")
-                crossing = F.lit(True) if boundary is None else (i - 1 < boundary) & (boundary < i + n - 1)
-                return crossing & F.length(F.translate(part, "a.", "")).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.length(F.translate(part, "x.", "")) >= K.MIN_ANCHORS)
+    def of(tokens_: Column) -> Column:
+        def marked_spans(marked: Column) -> Column:
+            def from_start(i: Column) -> Column:
+                def good(n: Column) -> Column:
+                    part = F.substring(marked, i, n).cast("string")
+                    crossing = F.lit(True) if boundary is None else (i - 1 < boundary) & (boundary < i + n - 1)
+                    return crossing & F.length(F.translate(part, "a.", "")).between(K.MIN_SLOTS, K.MAX_SLOTS) & (F.length(F.translate(part, "x.", "")) >= K.MIN_ANCHORS)
+
+                lengths = F.sequence(F.lit(K.MIN_SPAN), F.least(F.lit(K.MAX_SPAN), F.size(tokens_) - i + 1))
+                return F.transform(F.filter(lengths, good), lambda n: F.array_join(F.slice(tokens_, i, n), " "))
 
-            lengths = F.sequence(F.lit(K.MIN_SPAN), F.least(F.lit(K.MAX_SPAN), F.size(items) - i + 1))
-            return F.transform(F.filter(lengths, good), lambda n: F.array_join(F.slice(items, i, n), " "))
+            # a span that crosses the boundary starts near it
+            first, last = F.lit(1), F.size(tokens_) - (K.MIN_SPAN - 1)
+            if boundary is not None:
+                first, last = F.greatest(first, boundary - (K.MAX_SPAN - 2)), F.least(last, boundary)
+            return F.flatten(F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), from_start))
 
-        # a span that crosses the boundary starts near it
-        first = F.lit(1) if boundary is None else F.greatest(F.lit(1), boundary - (K.MAX_SPAN - 2))
-        last = F.size(items) - (K.MIN_SPAN - 1)
-        last = last if boundary is None else F.least(last, boundary)
-        return F.flatten(F.transform(F.sequence(first, F.greatest(first, last)), from_start))
+        marks = F.transform(tokens_, lambda t: F.when(t.isin(K.SLOT, K.NUMBER_SLOT), "x").when(is_anchor(t), "a").otherwise("."))
+        return F.when(F.size(tokens_) >= K.MIN_SPAN, bound(F.encode(F.array_join(marks, ""), "us-ascii"), marked_spans)).otherwise(none)
 
-    return F.when(F.size(items) >= K.MIN_SPAN, bound(marks, of)).otherwise(none)
+    return bound(items, of)
 
 
 def tallied(values: Column) -> Column:

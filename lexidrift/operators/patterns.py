@@ -77,22 +77,32 @@ def pattern_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def units(sents: Column) -> Column:
     """What frames are looked for in: each sentence, then each pair of neighbours, with its offset in the paragraph."""
-    offsets = F.transform(sents, lambda s, i: F.aggregate(F.slice(sents, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    single = F.transform(sents, lambda s, i: F.struct(s.alias("unit"), F.get(offsets, i).alias("at")))
-    pairs = F.transform(F.filter(sents, lambda s, i: i > 0), lambda s, i: F.struct(F.concat(F.get(sents, i), F.lit(" "), s).alias("unit"), F.get(offsets, i).alias("at")))
-    return F.concat(single, pairs)
+
+    def of(x: Column) -> Column:
+        # a running sum: the array grows by one offset a sentence
+        def offsets(upto: Column) -> Column:
+            single = F.transform(x, lambda s, i: F.struct(s.alias("unit"), F.get(upto, i).alias("at")))
+            pairs = F.transform(F.filter(x, lambda s, i: i > 0), lambda s, i: F.struct(F.concat(F.get(x, i), F.lit(" "), s).alias("unit"), F.get(upto, i).alias("at")))
+            return F.concat(single, pairs)
+
+        return T.bound(F.aggregate(x, F.array(F.lit(0)), lambda a, s: F.array_append(a, F.element_at(a, -1) + F.length(s) + 1)), offsets)
+
+    return T.bound(sents, of)
 
 
 def frame_spans(unit: Column, at: Column, pattern: str) -> Column:
     """Array of `(start, end)` of a frame's matches, from the gaps between them and their lengths."""
     java = "(?iU)" + pattern
-    gaps, found = F.split(unit, java, -1), F.regexp_extract_all(unit, F.lit(java), F.lit(0))
 
-    def start(i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        return at + before + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    def of(found: Column, gaps: Column) -> Column:
+        # ends of the matches so far, each after the gap before it
+        ends = F.aggregate(found, F.array().cast("array<int>"), lambda a, m: F.array_append(a, F.coalesce(F.element_at(F.concat(F.array(at), a), -1), at) + F.length(F.get(gaps, F.size(a))) + F.length(m)))
+        return T.bound(ends, lambda e: F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"))))
 
-    return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    matches = F.regexp_extract_all(unit, F.lit(java), F.lit(0))
+    # most units hold no frame, so the gaps are cut only where there is one
+    return T.bound(matches, lambda found: F.when(F.size(found) > 0, T.bound(F.split(unit, java, -1), lambda gaps: of(found, gaps))).otherwise(none))
 
 
 def kept_spans(spans: Column) -> Column:
