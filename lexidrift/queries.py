@@ -81,8 +81,7 @@ def _complete(s: SparkSession, d: str, models: tuple[str, ...]) -> DataFrame:
 
 def _params(s: SparkSession, d: str) -> DataFrame:
     rows = R.cell_rows(_records(s, d)).select(F.col("id").alias("doc_id"), "model", F.col("generation").alias("text"))
-    sized = P.exposure(rows, ["doc_id", "model"])
-    return S.cluster_params(P.skeleton_counts(rows, ["doc_id", "model"]), sized)
+    return S.document_params(rows)
 
 
 def _selected(s: SparkSession, scenarios: list[tuple[str, S.ClusterParams]], params: S.ClusterParams) -> DataFrame:

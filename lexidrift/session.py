@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,8 @@ def build_session(master: str | None = None, app: str = "lexidrift", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # a checkpoint is deleted when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
 
@@ -31,5 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix=f"lexidrift-{os.getpid()}-"))
+    if not configured:
+        configured = tempfile.mkdtemp(prefix=f"lexidrift-{os.getpid()}-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

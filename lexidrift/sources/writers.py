@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexidrift.functions.constants import MIN_CHARS
 from lexidrift.functions.integrity import canonical_text_sha256, json_sha256
 
 
@@ -68,6 +69,23 @@ def exclusion_file(sources: DataFrame, path: str | Path) -> int:
     return n
 
 
+def summary_json(values: dict[str, Any], path: str | Path) -> None:
+    """A JSON file of aggregates, keys in order."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(values, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+
+
+def calibration(rows: DataFrame, wanted: int, path: str) -> dict[str, Any]:
+    """The calibration documents `(domain, source_id, model, text)` as parquet by domain, the exclusion list, and the summary, which is returned."""
+    partitioned(rows, f"{path}/documents", "domain")
+    listed = exclusion_file(rows, f"{path}/exclusions.txt")
+    domains = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.countDistinct("source_id").alias("n")).collect()}
+    models = sorted(r["model"] for r in rows.select("model").distinct().collect())
+    summary = {"first_study_sources": wanted, "complete_clusters": listed, "by_domain": domains, "models": models, "filters": {"attack": "none", "decoding": "greedy", "repetition_penalty": "no", "min_chars": MIN_CHARS}}
+    summary_json(summary, f"{path}/summary.json")
+    return summary
+
+
 def provenance(values: dict[str, Any], path: str | Path) -> str:
     """A JSON file of aggregates with its own canonical hash in it; returns the hash."""
     digest = json_sha256(values)

@@ -264,6 +264,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert "field=model  value=gpt4  rows=1" in capsys.readouterr().out
 
 
+def test_study_commands(spark, tmp_path, capsys):
+    import csv
+
+    from lexidrift.__main__ import main
+
+    text = "It was not a storm but a shower, and they had {} of the boats in the harbour. " * 14
+    rows = []
+    for d in K.CELL_DOMAINS:
+        for k in range(2):
+            source = f"{K.CELL_DOMAINS.index(d):02d}{k:030d}"
+            for m in ("human", *K.DISCOVERY_MODELS, *K.VALIDATION_MODELS):
+                body = ("They sailed at noon. The keeper of the light was at home. " * 10) if m == "human" else text.replace("{}", str(k))
+                rows.append({"id": f"{source}-{m}", "source_id": source, "model": m, "domain": d, "attack": "none", "decoding": "" if m == "human" else "greedy", "repetition_penalty": "" if m == "human" else "no", "prompt": "Write.", "title": "", "generation": body})
+    with (tmp_path / "r.csv").open("w", newline="") as f:
+        out = csv.DictWriter(f, fieldnames=list(rows[0]))
+        out.writeheader()
+        out.writerows(rows)
+    (tmp_path / "x.txt").write_text("# none\n")
+    (tmp_path / "h.jsonl").write_text(json.dumps({"question": "q", "human_answers": [text], "chatgpt_answers": [text], "source": "s"}) + "\n")
+    assert main(["first", str(tmp_path / "r.csv"), str(tmp_path / "h.jsonl"), "--output", str(tmp_path / "first.csv")]) == 0
+    found = list(csv.DictReader((tmp_path / "first.csv").open()))
+    assert found and [r["candidate_set"] for r in found] == sorted(r["candidate_set"] for r in found)
+    assert main(["second", str(tmp_path / "r.csv"), str(tmp_path / "x.txt"), "--output", str(tmp_path / "second"), "--sources-a-phase", "1", "--resamples", "50"]) == 0
+    summary = json.loads((tmp_path / "second/summary.json").read_text())
+    assert summary["discovery_candidates"] > 0 and summary["lift_matrix_rows"] == summary["discovery_candidates"] * 30 and summary["anchor_sha256"] == I.anchors_sha256()
+    assert (tmp_path / "second/lift_matrix.csv").exists() and (tmp_path / "second/candidates.sha256").exists()
+    docs = spark.createDataFrame([("news", "s1", "human", "Text.")], "domain string, source_id string, model string, text string")
+    assert writers.calibration(docs, 3, str(tmp_path / "calibration"))["by_domain"] == {"news": 1}
+    assert (tmp_path / "calibration/exclusions.txt").read_text() == "s1\n"
+
+
 def test_gate_report(spark):
     from lexidrift.queries import SPREAD
 
