@@ -31,8 +31,8 @@ from lexidrift.plans.lineage import cut
 #: Words of a shingle of the reported similarity.
 SHINGLE = 5
 #: Bands, and minima of a band. Agreement a means a similarity of the bags of words of a / (2 - a): at 0.70 a band
-#: is shared with probability 0.15, so that of 28 bands at least one is in 99 of 100 pairs.
-BANDS, ROWS = 28, 3
+#: is shared with probability 0.15, so that of 24 bands at least one is in 98 of 100 pairs.
+BANDS, ROWS = 24, 3
 #: Minima of the signature, each with one bit in the sketch, and standard deviations by which a true pair's sketch may fall short.
 SKETCH, SLACK = 117, 2.2
 #: Steps of a factor e in which a text's length stands beside its sketch.
@@ -125,11 +125,12 @@ def unlike(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def word_weights(uses: np.ndarray, texts: int) -> np.ndarray:
-    """Weight of each bucket of words: one, and one more for each halving of its uses below one a text.
+    """Weight of each bucket of words: the root of one, and one more for each halving of its uses below one a text.
 
     Below `SELDOM` uses all weigh the same, so what only a few copies share weighs no less than what one of them changed.
+    The root keeps rare words from outweighing all else, as they may be what a copy exchanged.
     """
-    return np.floor(np.log2(np.maximum(texts // np.maximum(uses, SELDOM), 1) + 0.5)).astype(np.uint8) + np.uint8(1)
+    return np.sqrt(np.floor(np.log2(np.maximum(texts // np.maximum(uses, SELDOM), 1) + 0.5)) + 1)
 
 
 def word_codes(uses: np.ndarray) -> np.ndarray:

@@ -236,6 +236,25 @@ def test_overlaps_with_scattered_changes(spark):
     assert {(r.id_1, r.id_2) for r in overlap.overlapping_records(frame).collect()} == {(f"e{i:02d}", f"t{i:02d}") for i in range(20)}
 
 
+def test_copies_with_the_rarest_words_exchanged():
+    """The hardest change for weights by rarity, at agreement 0.80: two thirds of the rare words, and no other, are exchanged."""
+    rng = random.Random(23)
+    common, rare = words(rng, 60).split(), words(rng, 4000).split()
+    texts = []
+    for _ in range(300):
+        a = [rng.choice(common) for _ in range(70)] + [rng.choice(rare) for _ in range(30)]
+        rng.shuffle(a)
+        b = list(a)
+        for i in [i for i, w in enumerate(a) if w not in common][:20]:
+            b[i] = rng.choice(rare)
+        texts += [a, b]
+    uses = np.bincount([int(overlap._WORDS[w]) % overlap.COUNTERS for t in texts for w in t], minlength=overlap.COUNTERS)
+    bands, marks = overlap.signatures(np.array([len(t) for t in texts]), np.array([overlap._WORDS[w] for t in texts for w in t], dtype=np.uint64), overlap.word_weights(uses, len(texts)))
+    met = ((bands[::2] == bands[1::2]).any(axis=1) & (overlap.unlike(marks[::2], marks[1::2]) <= overlap.most_unlike(0.7))).mean()
+    print("recall where the rarest words are exchanged", met)
+    assert met >= 0.80
+
+
 def test_common_words_equal_table():
     rng = random.Random(2)
     for _ in range(50):
