@@ -172,7 +172,7 @@ def _least_step(counts: dict[int, int]) -> int:
 
 def length_ratios(records: DataFrame, ends: DataFrame, text: str) -> DataFrame:
     """`(length, ratio)`: open ends at a length against what the lengths of all other texts let expect."""
-    closed = records.where(~maybe_open(F.col(text))).groupBy(F.length(text).alias("length")).agg(F.count("*").alias("closed"))
+    closed = cut(records.where(~maybe_open(F.col(text))).groupBy(F.length(text).alias("length")).agg(F.count("*").alias("closed")))
     opened = ends.groupBy("length").agg(F.count("*").alias("opened"))
     sums = closed.agg(F.sum("closed").alias("c")).crossJoin(opened.agg(F.sum("opened").alias("o")))
     at = opened.join(closed, "length", "left").crossJoin(F.broadcast(sums))
