@@ -162,13 +162,26 @@ def without_excluded(found: DataFrame, excluded: DataFrame) -> DataFrame:
     return found.join(named, "source_id", "left_anti")
 
 
+def ranked_within(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """`rows` with `rank`, from 1 by hash of the key, and `have`, the size of the group.
+
+    Groups are ranked in buckets of the hash's first digits, whose offsets come from counts, so
+    no task sorts a whole group.
+    """
+    hashed = rows.withColumn("_hash", rank_key(F.col(key))).withColumn("_bucket", F.substring("_hash", 1, 3))
+    sizes = hashed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumns({"_before": before, "have": F.sum("_n").over(Window.partitionBy(*by))}).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_hash", key))
+    return hashed.withColumn("_own", own).join(offsets, [*by, "_bucket"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_hash", "_bucket", "_own", "_before")
+
+
 def phases(found: DataFrame, per_domain: int | None = K.SOURCES_PER_PHASE) -> DataFrame:
     """`(domain, source_id, phase)`: in each domain ranks 1 to N are discovery, N+1 to 2N validation.
 
     A domain with fewer than 2N sources is an error. With None, N is half of what each domain has.
     """
-    order = Window.partitionBy("domain").orderBy(rank_key(F.col("source_id")), "source_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("have", F.count("*").over(Window.partitionBy("domain")))
+    ranked = ranked_within(found, ["domain"], "source_id")
     if per_domain is None:
         n = F.floor(F.col("have") / 2)
     else:
