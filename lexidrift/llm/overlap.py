@@ -329,15 +329,19 @@ def subsequences(a: list[np.ndarray], b: list[np.ndarray], need: np.ndarray | No
             at = base[:active] + text[i, :active]
             carry = None
             for lane in range(max(0, i - apart) // 64, min(lanes, (i + apart) // 64 + 1)):
-                m, old = where[lane].take(at), v[lane, :active]
-                total = old + (old & m)
+                old = v[lane, :active]
+                met = where[lane].take(at)
+                met &= old
+                total = old + met
                 if lanes > 1:
                     over = total < old
                     if carry is not None:
-                        total = total + carry
+                        total += carry
                         over |= total < carry
                     carry = over.astype(np.uint64)
-                v[lane, :active] = total | (old & ~m)
+                met ^= old  # what is left of the ones where nothing was met
+                total |= met
+                v[lane, :active] = total
     if len(rows):
         out[rows] = np.bitwise_count(~v & mask).sum(axis=0, dtype=np.int64)
     return out
@@ -352,8 +356,8 @@ class _Side:
         self.ready = False
 
     def add(self, rows: pa.RecordBatch) -> None:
-        self.numbers.append(rows.column(2).to_numpy())
-        self.codes += rows.column(4).to_pylist()
+        self.numbers.append(rows.column(1).to_numpy())
+        self.codes += rows.column(3).to_pylist()
 
     def close(self) -> None:
         if not self.ready:
@@ -422,29 +426,24 @@ def in_order(matches: DataFrame, keys: DataFrame, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(n[good]), pa.array(m[good])], names=["train_n", "eval_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides, held = None, (_Side(), _Side()), []
+        # a partition is one tile: both sides come first, then the pairs
+        sides, held = (_Side(), _Side()), []
         for batch in batches:
-            tiles, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1), len(tiles)]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                if tiles[lo] != at:
-                    if held:
-                        yield checked(sides, held)
-                    at, sides, held = tiles[lo], (_Side(), _Side()), []
-                part = batch.slice(lo, hi - lo)
-                if kinds[lo] < 2:
-                    sides[kinds[lo]].add(part)
-                else:
-                    held.append(np.stack([part.column(2).to_numpy(), part.column(3).to_numpy()], axis=1))
-                    if sum(map(len, held)) >= AT_ONCE:
-                        yield checked(sides, held)
-                        held = []
+            kinds = batch.column(0).to_numpy()
+            edges = np.searchsorted(kinds, [0, 1, 2, 3])
+            for kind in (0, 1):
+                if edges[kind] < edges[kind + 1]:
+                    sides[kind].add(batch.slice(edges[kind], edges[kind + 1] - edges[kind]))
+            if edges[2] < edges[3]:
+                pairs = batch.slice(edges[2], edges[3] - edges[2])
+                held.append(np.stack([pairs.column(1).to_numpy(), pairs.column(2).to_numpy()], axis=1))
+                if sum(map(len, held)) >= AT_ONCE:
+                    yield checked(sides, held)
+                    held = []
         if held:
             yield checked(sides, held)
 
-    return dealt.repartitionById(across * down, F.col("tile")).sortWithinPartitions("tile", "kind").mapInArrow(run, "train_n long, eval_n long").distinct()
+    return dealt.repartitionById(across * down, F.col("tile")).sortWithinPartitions("kind").select("kind", "n", "m", "code").mapInArrow(run, "train_n long, eval_n long").distinct()
 
 
 def common_words(a: Sequence, b: Sequence) -> int:
