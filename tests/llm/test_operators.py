@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -575,6 +576,29 @@ def test_single_byte_twins_without_ascii_words(spark):
     assert "koi8-r as cp1251" in learned
 
 
+def test_a_twin_is_met_among_many_forms(spark):
+    """The right form of a garbled sentence counts, however many others have the same letters outside their accents."""
+    text = "The miller M{}ller has a long way to the mill."
+    rows = [(i, text.format(chr(0xE0 + i))) for i in range(29)] + [(100, text.format("ü").encode().decode("cp1252"))]
+    learned = {r.transformation for r in encoding.learned_transformations(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "utf-8 as cp1252" in learned
+
+
+def test_twins_equal_brute_force(spark):
+    """Every pair with a key in common that a transformation explains is counted."""
+    rng = random.Random(31)
+    letters = "äöüéèñçøåß"
+    texts = {f"The k{rng.choice(letters)}per of l{rng.choice(letters)}mps m{rng.choice(letters)}t {rng.randrange(2)} friends" for _ in range(60)}
+    texts |= {" ".join("".join(rng.choice("абве") for _ in range(2)) for _ in range(5)) for _ in range(60)}
+    texts |= {t.encode(w, "replace").decode(r, "replace") for t in sorted(texts) for w, r in (rng.choice([("utf-8", "cp1252"), ("mac-roman", "cp1252"), ("koi8-r", "cp1251")]),)}
+    documents = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")
+    likeness = encoding.Detector(encoding.collected_counts(documents)).likeness
+    keyed = [(k, t) for t in texts if not t.isascii() for k in (*encoding.twin_keys(t), encoding.text_key(t)) if k]
+    want = Counter(name for k, a in keyed for q, b in keyed if k == q and a != b for name in encoding.explain(a, b, likeness))
+    assert max(Counter(k for k, _ in keyed).values()) > 20 and len(want) > 2
+    assert {r.transformation: r.twins for r in encoding.learned_transformations(documents).collect()} == want
+
+
 @pytest.mark.parametrize("codec", encoding.MISREAD)
 def test_misread_round_trip(codec):
     text = "über Żółć – “naïve” жаба 水"
