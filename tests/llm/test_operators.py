@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -277,6 +278,33 @@ def test_subsequences_side_by_side():
     assert overlap.subsequences([huge[0]], [huge[1]]).tolist() == [3000]
 
 
+def test_words_of_many_texts_equal_those_of_one(monkeypatch):
+    """Every character, alone and among others, gives the same words looked up in a table as by the patterns."""
+    rng = random.Random(37)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, points[k : k + 50])) for k in range(0, len(points), 50)] + [f"x{chr(c)}x {chr(c)}" for c in points if c < 0x3400]
+    texts += ["".join(map(chr, rng.sample(points, 80))) for _ in range(200)] + ["", "Don't `stop`_now", "字", "a字b", "ก", "’", "e\u200b\u0301", "ﬁn…"]
+    assert overlap.all_comparable_words(texts) == [overlap.comparable_words(t) for t in texts] and overlap.all_comparable_words([]) == []
+    for t in texts[-8:]:
+        folded = unicodedata.normalize("NFKC", t.translate(overlap._DROP)).translate(overlap._DROP).casefold().translate(overlap._SAME)
+        assert overlap.comparable_words(t) == overlap._TOKEN.findall(folded)
+    monkeypatch.setattr(overlap, "LOOKED_UP", 100)
+    assert overlap.all_comparable_words(texts[-300:]) == [overlap.comparable_words(t) for t in texts[-300:]]
+
+
+def test_subsequences_at_the_ends_of_words():
+    """Lengths around whole words of bits; a pair given up lies below what it needs, one that isn't is exact."""
+    rng = np.random.default_rng(41)
+    sizes = [1, 2, 62, 63, 64, 125, 126, 127, 128, 189, 190, 300]
+    pairs = [(rng.integers(0, letters, n).astype(np.uint8), rng.integers(0, letters, m).astype(np.uint8)) for n in sizes for m in sizes for letters in (1, 3, 250)]
+    want = np.array([overlap.common_words(a.tolist(), b.tolist()) for a, b in pairs])
+    assert overlap.subsequences(*map(list, zip(*pairs, strict=True))).tolist() == want.tolist()
+    for share in (0.3, 0.7, 1.0):
+        need = np.array([share * max(len(a), len(b)) for a, b in pairs])
+        got = overlap.subsequences(*map(list, zip(*pairs, strict=True)), need)
+        assert (got[want >= need] == want[want >= need]).all() and (got[want < need] < need[want < need]).all()
+
+
 def test_screen_lets_every_key_through(spark):
     keys = spark.range(0, 5000).select((F.xxhash64("id")).alias("k"))
     bits = screen.screen(keys, "k", screen.bits_for(5000))
